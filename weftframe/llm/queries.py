@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id, packing
+from . import jaccard, language_id, packing, substring
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2_substring_dedup,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring.OP2_SQL,
+    "op6_ngram_jaccard": jaccard.OP6_SQL,
+}
