@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import _shared, language_id, packing
+from weftframe.llm import _shared, decontaminate, jaccard, language_id, packing, substring
 
 
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +12,33 @@ def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.keep_clear(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays."""
+    return jaccard.drop_copies(docs)
+
+
+def fresh_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has; a document with no words left goes."""
+    return substring.cut(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into training sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("language_id", clear_language), ("best_fit_packing", packed)]
+STAGES = [
+    ("language_id", clear_language),
+    ("ngram_jaccard", one_of_each),
+    ("substring_dedup", fresh_passages),
+    ("decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
 
 #: The stages fit a classifier, follow chains of near copies and place items one by one: SQL can't express them.
 ORACLE_SQL = None

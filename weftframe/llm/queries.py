@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, language_id, packing, substring
+from . import decontaminate, jaccard, language_id, packing, substring
 
 QUERIES = {
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
