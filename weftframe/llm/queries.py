@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, language_id, packing, substring, token_counts, warc
+from . import decontaminate, embeddings, jaccard, language_id, language_model, packing, quality, substring, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_embedding_caps": embeddings.op7_embedding_caps,
     "op8_token_counts": token_counts.op8_token_counts,
