@@ -1,4 +1,4 @@
-"""Comparators that follow two-valued logic: each gives a Column that is never null."""
+"""Comparators that follow two-valued logic. In a filter a null test is false, so the bare test, which scans can push down, will do there."""
 
 from __future__ import annotations
 
@@ -78,14 +78,15 @@ def _listed(values: Iterable[Any]) -> tuple[list[Any], bool]:
 
 def is_in(values: Iterable[Any]) -> Predicate:
     some, none = _listed(values)
-    found = lambda c: (c.isin(some) if some else F.lit(False)) & c.isNotNull()
-    return Predicate("is_in(...)", lambda c: found(c) | (c.isNull() & F.lit(none)), lambda x: x in some or (none and x is None))
+    found = lambda c: c.isin(some) if some else F.lit(False)
+    return Predicate("is_in(...)", lambda c: (found(c) | c.isNull()) if none else found(c), lambda x: x in some or (none and x is None))
 
 
 def not_in(values: Iterable[Any]) -> Predicate:
     """Null passes unless it is listed."""
-    inner = is_in(values)
-    return Predicate("not_in(...)", lambda c: ~inner.to_column(c), lambda x: not inner.test(x))
+    some, none = _listed(values)
+    out = lambda c: ~c.isin(some) if some else F.lit(True)
+    return Predicate("not_in(...)", lambda c: (out(c) & c.isNotNull()) if none else (out(c) | c.isNull()), lambda x: x not in some and not (none and x is None))
 
 
 def startswith(s: str) -> Predicate:
@@ -120,13 +121,13 @@ def of_regex(method: Any) -> Callable[[Column], Column] | None:
     flags += "U" if pattern.flags & re.UNICODE else ""
     head = f"(?{flags})" if flags else ""
     body = {"search": pattern.pattern, "match": rf"\A(?:{pattern.pattern})", "fullmatch": rf"\A(?:{pattern.pattern})\z"}[name]
-    return lambda c: F.coalesce(c.cast("string").rlike(head + body), F.lit(False))
+    return lambda c: c.cast("string").rlike(head + body)
 
 
 def value_test(test: Any, col: Column) -> Column:
-    """The Column for `attr=test`: a comparator, a regular expression's method, a callable, or a value to equal."""
+    """The Column for `attr=test`, null or false where it fails: a comparator, a regular expression's method, a callable, or a value to equal."""
     if isinstance(test, Predicate):
-        return test.to_column(col)
+        return test.build(col)
     if not callable(test):
         return col.eqNullSafe(test)
     build = of_regex(test)
@@ -135,7 +136,7 @@ def value_test(test: Any, col: Column) -> Column:
     try:
         out = test(col)
         if isinstance(out, Column):
-            return F.coalesce(out.cast("boolean"), F.lit(False))
+            return out.cast("boolean")
     except Exception:  # it needs real values  # noqa: BLE001
         pass
 

@@ -82,7 +82,7 @@ def join_frames(left: Table, right: Table, keys: list[tuple[str, str]], wanted:
         out = universe.join(l, [F.col(f"_wf_g{i}") == F.col(f"`{a}`") for i, (a, _) in enumerate(on)], "left")
         out = out.join(r, [F.col(f"_wf_g{i}") == F.col(f"`{b}`") for i, (_, b) in enumerate(on)], "left")
         for i, (a, b) in enumerate(on):
-            out = out.withColumns({f"l_{a}": F.col(f"_wf_g{i}"), f"r_{b}": F.col(f"_wf_g{i}")})
+            out = out.withColumns({a: F.col(f"_wf_g{i}"), b: F.col(f"_wf_g{i}")})
     if kind != "inner" and not (kind == "full" and len(on) > 1 and grid):
         for a, b in on:  # a padded row carries the key on both sides
             key = F.coalesce(F.col(f"`{a}`"), F.col(f"`{b}`"))

@@ -208,6 +208,11 @@ class Table:
         """The visible columns; rows in no particular order."""
         return self.df.select(*[F.col(f"`{c}`") for c in self.columns])
 
+    @property
+    def sorted_frame(self) -> DataFrame:
+        """The visible columns, sorted."""
+        return self._sorted().select(*[F.col(f"`{c}`") for c in self.columns])
+
     @property
     def columns(self) -> list[str]:
         return order.visible(self.df)
@@ -251,7 +256,7 @@ class Table:
         return order.numbered(df, keys), len(keys)
 
     def _first(self) -> Row | None:
-        return self._sorted().select(*[F.col(f"`{c}`") for c in self.columns]).first()
+        return self.sorted_frame.first()
 
     # sequence protocol
 
@@ -262,7 +267,7 @@ class Table:
         return not self.df.isEmpty()
 
     def __iter__(self) -> Iterator[Row]:
-        return write.rows_of(self._sorted().select(*[F.col(f"`{c}`") for c in self.columns]))
+        return write.rows_of(self.sorted_frame)
 
     def __reversed__(self) -> Iterator[Row]:
         df, keys = self._ordered()
@@ -419,7 +424,7 @@ class Table:
         """Removes the rows that where() would select; how many there were. Nothing without a condition."""
         if wherefn is None and not kwargs:
             return 0
-        test = self._predicate(wherefn, kwargs)
+        test = F.coalesce(self._predicate(wherefn, kwargs), F.lit(False))
         gone = self.df.where(test).count()
         self._set(self.df.where(~test))
         return gone
@@ -502,9 +507,9 @@ class Table:
         for name, value in kwargs.items():
             test = test & predicates.value_test(value, F.col(f"`{name}`") if name in self.columns else F.lit(None))
         if isinstance(wherefn, Column):
-            test = test & F.coalesce(wherefn, F.lit(False))
+            test = test & wherefn
         elif wherefn is not None:
-            test = test & F.coalesce(record.row_column(self.df, wherefn, T.BooleanType() if _gives_bool(self, wherefn) else None).cast("boolean"), F.lit(False))
+            test = test & record.row_column(self.df, wherefn, T.BooleanType() if _gives_bool(self, wherefn) else None).cast("boolean")
         return test
 
     def where(self, wherefn: Any = None, **kwargs: Any) -> Table:
