@@ -202,7 +202,8 @@ def cut(docs: DataFrame, k: int = 50, m: int = 10) -> DataFrame:
 
     A row that loses all its words goes; n_chars, where there is such a column, follows the text.
     """
-    later = repeats(docs, k, m).where("not leads").groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("__cuts"))
+    did, th, cuts_at = _shared.free(docs, "did", "th", "cuts")
+    later = repeats(docs.select("doc_id", "text"), k, m).where("not leads").groupBy(F.col("did").alias(did), F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias(cuts_at))
     text, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +233,8 @@ def cut(docs: DataFrame, k: int = 50, m: int = 10) -> DataFrame:
                         columns[size] = pa.array(chars, columns[size].type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1]).filter(pa.array(kept))
 
-    keyed = docs.withColumns({"__did": _shared.id_column(), "__th": _shared.row_key()})
-    joined = keyed.join(later.withColumnsRenamed({"did": "__did", "th": "__th"}), ["__did", "__th"], "left").drop("__did", "__th")
+    keyed = docs.withColumns({did: _shared.id_column(), th: _shared.row_key()})
+    joined = keyed.join(later, [did, th], "left").select(*[F.col(f"`{c}`") for c in docs.columns], cuts_at)
     return joined.mapInArrow(run, docs.schema)
 
 
