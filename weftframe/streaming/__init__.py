@@ -18,7 +18,7 @@ def follow(spark: SparkSession, path: str, schema: Any, kind: str = "parquet", *
 
 def summarized(table: Table, time: str, late: str, width: str, by: list[str], **aggregates: Column) -> DataFrame:
     """Summaries by tumbling windows of event time; rows later than `late` are dropped."""
-    window = F.window(F.col(time).cast("timestamp"), width)
+    window = F.window(time, width)
     stamped = table.frame.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return stamped.groupBy(window.alias("window"), *by).agg(*[c.alias(n) for n, c in aggregates.items()]).select("window.start", "window.end", *by, *aggregates)
 

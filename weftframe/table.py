@@ -321,17 +321,10 @@ class Table:
             return out
         if isinstance(key, str):
             return Values(self, key)
-        row = self.head(key + 1)._last() if key >= 0 else self.tail(-key)._nth_of_tail(-key)
-        if row is None:
+        near = self.head(key + 1) if key >= 0 else self.tail(-key)
+        if len(near) < (key + 1 if key >= 0 else -key):
             raise IndexError(key)
-        return row
-
-    def _last(self) -> Row | None:
-        return next(reversed(self), None)
-
-    def _nth_of_tail(self, n: int) -> Row | None:
-        rows = list(self)
-        return rows[0] if len(rows) == n else None
+        return next(reversed(near)) if key >= 0 else near._first()
 
     def __delitem__(self, key: Any) -> None:
         if not isinstance(key, slice):
@@ -532,7 +525,7 @@ class Table:
 
     def formatted_table(self, *fields: str, **exprs: Any) -> Table:
         """All texts; a null shows as None."""
-        out = self.select(list(fields) or None if fields or exprs else "*", **exprs)
+        out = self.select(" ".join(fields) or (None if exprs else "*"), **exprs)
         return out._derived(out.df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in out.columns}))
 
     def format(self, text: str) -> Iterator[str]:
