@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftframe-')}")
         at = sc.getCheckpointDir()
