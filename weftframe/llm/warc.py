@@ -30,6 +30,7 @@ from . import _shared
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", re.IGNORECASE)
 MOST_HEADER = 1 << 20
+MOST_TASKS = 50_000
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -118,15 +119,18 @@ def split_links(view: Window, lo: int, hi: int) -> dict[int, int]:
     return after
 
 
-def splits(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
+def splits(spark: SparkSession, folder: str, split_bytes: int) -> tuple[DataFrame, int]:
+    """(path, size, lo) of every split, a task for each as far as MOST_TASKS goes; and the number of tasks."""
     fs, path = pafs.FileSystem.from_uri(folder)
     files = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.is_file and f.size and not f.base_name.startswith(".")]
     table = spark.createDataFrame(files, "path string, size bigint")
-    return table.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split_bytes))).alias("lo")).repartition("path", "lo")
+    tasks = max(1, min(MOST_TASKS, sum(-(-size // split_bytes) for _, size in files)))  # a row stands for split_bytes of work: partitions must not be merged by their own size
+    return table.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split_bytes))).alias("lo")).repartition(tasks), tasks
 
 
 def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
-    """(path, size, lo, entry): where each split that records begin in is really entered."""
+    """(path, size, lo, entry): where each split that records begin in is really entered; in as many tasks as splits() has."""
+    parts, tasks = splits(spark, folder, split_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +141,7 @@ def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
                 view.close()
                 yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(links), pa.string()), "size": pa.array([size] * len(links), pa.int64()), "at": pa.array(links.keys(), pa.int64()), "then": pa.array(links.values(), pa.int64())})
 
-    links = _shared.stash(splits(spark, folder, split_bytes).mapInArrow(run, "path string, size bigint, at bigint, then bigint"), "warc-links")
+    links = _shared.stash(parts.mapInArrow(run, "path string, size bigint, at bigint, then bigint"), "warc-links")
     reach = links.where("at = 0").select("path", "at")
     # candidates that no candidate of another split leads to can't be entered
     jump = links.where("then > 0 and then < size").join(links.where("then > 0").select("path", F.col("then").alias("at")).distinct().union(reach), ["path", "at"], "left_semi").select("path", "at", "then")
@@ -150,7 +154,7 @@ def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
         jump = _shared.stash(jump, "warc-jump")
         reach = reach.union(reach.join(jump, ["path", "at"]).select("path", F.col("then").alias("at")))
         jump = jump.alias("a").join(jump.alias("b"), F.expr("a.path = b.path and a.then = b.at")).selectExpr("a.path", "a.at", "b.then")
-    return reach.join(links, ["path", "at"]).select("path", "size", (F.floor(F.col("at") / split_bytes) * split_bytes).alias("lo"), F.col("at").alias("entry"))
+    return reach.join(links, ["path", "at"]).select("path", "size", (F.floor(F.col("at") / split_bytes) * split_bytes).alias("lo"), F.col("at").alias("entry")).repartition(tasks)
 
 
 RECORD = "path string, offset bigint, headers map<string,string>, content binary"
@@ -181,7 +185,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 32 << 20) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "offset", "headers", "content"])
 
-    return entries(spark, folder, split_bytes).repartition("path", "lo").mapInArrow(run, RECORD)
+    return entries(spark, folder, split_bytes).mapInArrow(run, RECORD)
 
 
 def pages_of(records: DataFrame) -> DataFrame:
