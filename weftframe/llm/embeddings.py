@@ -5,8 +5,9 @@ direction (a structured random product code, so codes ** blocks directions cost
 partial combinations only while the best completion can still reach `height`; it returns every filter whose cap of that height holds the
 vector. Vectors that share a filter are compared exactly.
 
-The search is approximate: with the defaults and 64 dimensions a pair of cosine 0.9 shares a filter with probability above 0.95,
-a closer pair more often. Nothing else limits partners: every vector is a query, and a bucket compares all its vectors.
+The search is approximate: the height is set so that a random vector lies in about `filters` caps, whatever the dimension; with the defaults
+a pair of cosine 0.9 shares a filter with probability 0.95 in 64 dimensions (measured), a closer pair more often. Nothing else limits
+partners: every vector is a query, and a bucket compares all its vectors.
 
 Defined results: a null vector, one with a null, infinite or NaN element, of length zero, or with another number of elements than most have,
 has no partners; nor has a row with a null vec_id. Identical vectors are compared once: each is reported as a pair with the smallest id
@@ -25,6 +26,18 @@ from pyspark.sql import functions as F
 from . import _shared
 
 
+def height_for(dim: int, blocks: int, codes: int, filters: float) -> float:
+    """The height at which random unit vectors lie in `filters` caps on average."""
+    probe = Filters(dim, blocks, codes, 0.0)
+    x = np.random.default_rng(12).standard_normal((48, dim)).astype(np.float32)
+    scores = probe.scores(x / np.linalg.norm(x, axis=1, keepdims=True))
+    total = scores[:, 0]
+    for b in range(1, blocks):
+        total = (total[:, :, None] + scores[:, b, None, :]).reshape(len(x), -1)
+    most = min(total.size - 1, int(filters * len(x)))
+    return float(np.partition(total.ravel(), total.size - 1 - most)[total.size - 1 - most]) - 1e-6
+
+
 class Filters:
     def __init__(self, dim: int, blocks: int, codes: int, height: float):
         rng = np.random.default_rng(11)
@@ -35,10 +48,13 @@ class Filters:
         words = rng.standard_normal((blocks, codes, self.width))
         self.words = (words / np.linalg.norm(words, axis=2, keepdims=True) / np.sqrt(blocks)).astype(np.float32)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        y = (x @ self.rotation).reshape(len(x), self.blocks, self.width)
+        return np.stack([y[:, b] @ self.words[b].T for b in range(self.blocks)], 1)
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for unit rows x: all filters whose inner product reaches height."""
-        y = (x @ self.rotation).reshape(len(x), self.blocks, self.width)
-        scores = np.einsum("nbw,bcw->nbc", y, self.words)
+        scores = self.scores(x)
         rest = np.append(np.cumsum(scores.max(2)[:, ::-1], 1)[:, ::-1], np.zeros((len(x), 1), np.float32), 1)  # best of blocks b..
         row, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
         for b in range(self.blocks):
@@ -48,12 +64,12 @@ class Filters:
         return row, code
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near(vectors: DataFrame, threshold: float = 0.9, blocks: int = 4, codes: int = 24, height: float = 0.45) -> DataFrame:
+def near(vectors: DataFrame, threshold: float = 0.9, blocks: int = 2, codes: int = 512, filters: float = 50) -> DataFrame:
     """(vec_a, vec_b, cosine) with vec_a < vec_b and a cosine of at least threshold; cosines to 6 decimals."""
     known = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -62,10 +78,13 @@ def near(vectors: DataFrame, threshold: float = 0.9, blocks: int = 4, codes: int
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
     dim = sizes["n"]
+    codes = min(codes, 2 ** min(dim, 30))  # few dimensions have few directions
+    height = height_for(dim, blocks, codes, filters)
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0  # no negative zero
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind) + kind(0)  # no negative zero
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat], pa.binary())], ["id", "v"])
 
     rows = known.where(F.size("v") == dim).mapInArrow(pack, "id bigint, v binary")
@@ -74,11 +93,11 @@ def near(vectors: DataFrame, threshold: float = 0.9, blocks: int = 4, codes: int
     copies = ranked.where("id > rep").select(F.col("rep").alias("vec_a"), F.col("id").alias("vec_b"), F.lit(1.0).alias("cosine")).distinct()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters(dim, blocks, codes, height)
+        caps = Filters(dim, blocks, codes, height)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                row, code = filters.decode(unit(part.column(1).to_pylist()).astype(np.float32))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                row, code = caps.decode(unit(part.column(1).to_pylist(), kind).astype(np.float32))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(code), part.column(0).take(take), part.column(1).take(take)], ["code", "id", "v"])
 
@@ -95,7 +114,7 @@ def near(vectors: DataFrame, threshold: float = 0.9, blocks: int = 4, codes: int
         def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
             code, ids = table["code"].to_numpy(), table["id"].to_numpy()
-            x = unit(table["v"].to_pylist())
+            x = unit(table["v"].to_pylist(), kind)
             ends = np.flatnonzero(np.append(code[1:] != code[:-1], True)) + 1
             found, at = [], 0
             for end in ends.tolist():
