@@ -24,6 +24,24 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(got[i]["ambiguous"] for i, _, _ in test) <= 2
 
 
+def test_language_id_rejects_what_is_no_language_it_knows(spark):
+    model = language_id.fit(corpus(spark, languages(0, 400)), max_train=400)
+    rng = random.Random(5)
+    words = {
+        "mixed": lambda: prose(rng.randrange(10**6), 40, "en").split() + prose(rng.randrange(10**6), 40, "de").split(),
+        "letters": lambda: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)],
+        "cyrillic": lambda: ["".join(chr(rng.randrange(0x430, 0x450)) for _ in range(6)) for _ in range(60)],
+        "italian": lambda: rng.choices("il che di non una sono con per anche più come questo della quando città giorno uomo casa strada".split(), k=60),
+    }
+    odd = corpus(spark, [(i, " ".join(make())) for i, make in enumerate(f for f in words.values() for _ in range(25))])
+    gone = {r["doc_id"]: r["ambiguous"] for r in language_id.identify(odd, model).collect()}
+    for at, kind in enumerate(words):
+        assert sum(gone[i] for i in range(25 * at, 25 * at + 25)) >= 23, kind
+    clean = corpus(spark, languages(9000, 200))
+    assert language_id.identify(clean, model).where("ambiguous").count() <= 10
+    assert language_id.keep_clear(corpus(spark, languages(0, 400)).union(odd.withColumn("lang", odd["lang"].substr(9, 1)).replace("", None, ["lang"])), 400).where("lang is null").count() <= 8
+
+
 def test_codewords_are_far_apart():
     for k in (2, 3, 4, 10):
         m = language_id.codewords(k)
