@@ -135,6 +135,20 @@ def test_language_model_prefers_what_it_has_seen(spark):
     assert math.isclose(got[1]["perplexity"], math.exp(-got[1]["log_prob"]), rel_tol=1e-3)
 
 
+def test_language_model_gives_each_word_its_own_probability(spark):
+    often, seldom = "harbour", "lantern"
+    docs = corpus(spark, [(i, f"the sea and the {often if i % 10 else seldom} there") for i in range(200)])
+    net = language_model.train(docs, listed=4, rest=1, width=4)
+    log_prob = {r["doc_id"]: r["log_prob"] for r in language_model.score(corpus(spark, [(1, often), (2, seldom), (3, "xylem"), (4, "the")]), net).collect()}
+    shares = {r["h"]: r["share"] for r in net.shares.collect()}
+    words = {w: np.uint64(language_model._text.hash_word(w)).astype(np.int64) for w in (often, seldom)}
+    own = {i: shares.get(int(words[w])) for i, w in ((1, often), (2, seldom))}
+    for i in (1, 2):  # one of them may be listed
+        assert own[i] is None or own[i] < 0
+    assert log_prob[2] > log_prob[3] and log_prob[1] > log_prob[2]
+    assert math.isclose(sum(math.exp(v) for v in shares.values()) + math.exp(net.unseen[0]), 1, rel_tol=1e-9)
+
+
 def test_language_model_probabilities_add_up():
     vocab = language_model.Vocabulary(np.array([5 << 44, 9 << 44, 77 << 44], np.uint64), 4, 2)
     net = language_model.Net(vocab)
