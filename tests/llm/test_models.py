@@ -42,6 +42,60 @@ def test_language_id_rejects_what_is_no_language_it_knows(spark):
     assert language_id.keep_clear(corpus(spark, languages(0, 400)).union(odd.withColumn("lang", odd["lang"].substr(9, 1)).replace("", None, ["lang"])), 400).where("lang is null").count() <= 8
 
 
+def gram_counts(text):
+    """Square roots of the shares of the hashed grams of one text, by a plain loop."""
+    low = (_text.plain_text(text) + " ").encode("latin-1") if _text.plain_text(text) else b""
+    out = [0.0] * language_id.SIZE
+    for i in range(len(low) - 1):
+        out[((low[i] * 257 + low[i + 1]) * 2654435761 % 2**32) >> 20] += 1
+    for i in range(len(low) - 2):
+        out[(((low[i] * 257 + low[i + 1]) * 263 + low[i + 2] + (1 << 20)) * 2654435761 % 2**32) >> 20] += 1
+    return [math.sqrt(v / sum(out)) for v in out] if any(b > 57 for b in low) else [0.0] * language_id.SIZE
+
+
+def decoded(model, text):
+    """Language and loss of one text, by plain loops over classes and bits."""
+    x = gram_counts(text)
+    if not any(x):
+        return None, None
+    f = [sum(v * float(model.weights[k, b]) for k, v in enumerate(x) if v) + float(model.bias[b]) for b in range(model.codes.shape[1])]
+    losses = [sum(t * math.log1p(math.exp(-c * v)) for t, c, v in zip(trust, code, f, strict=True)) for trust, code in zip(model.trust, model.codes, strict=True)]
+    return model.langs[losses.index(min(losses))], min(losses)
+
+
+NEIGHBOURS = ["a", "maison matin", "", "haus morgen", "b", "a", "123 456", "the", "é", "ünïcödé", "a b", prose(4, 3000, "fr"), "x", "the river"]
+
+
+def test_language_id_equals_a_plain_loop(spark):
+    model = language_id.fit(corpus(spark, languages(0, 90)))
+    texts = NEIGHBOURS + [t for _, t, _ in languages(7000, 20)]
+    got = {r["doc_id"]: r for r in language_id.identify(corpus(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        lang, loss = decoded(model, t)
+        assert got[i]["lang_pred"] == lang
+        assert loss is None or math.isclose(got[i]["loss"], loss, abs_tol=2e-6)
+
+
+def test_language_id_does_not_depend_on_the_rows_beside(spark):
+    model = language_id.fit(corpus(spark, languages(0, 90)))
+    encoded = [t.encode() for t in NEIGHBOURS]
+
+    def at_once(rows_):
+        off = np.append(0, np.cumsum([len(b) for b in rows_]))
+        return list(zip(*(v.tolist() for v in language_id.judged(model, np.frombuffer(b"".join(rows_), np.uint8), off, 0.02)), strict=True))
+
+    alone = [repr(at_once([b])[0]) for b in encoded]
+    for seed in range(5):
+        order = random.Random(seed).sample(range(len(encoded)), len(encoded))
+        assert [repr(r) for r in at_once([encoded[k] for k in order])] == [alone[k] for k in order]
+
+
+def test_pieces_bound_rows_as_well_as_bytes():
+    batch = language_id.pa.RecordBatch.from_pydict({"text": ["abc"] * 10_000})
+    assert max(p.num_rows for p, _, _ in _text.pieces(batch, rows=language_id.ROWS)) == language_id.ROWS
+    assert sum(p.num_rows for p, _, _ in _text.pieces(batch, rows=language_id.ROWS)) == 10_000
+
+
 def test_codewords_are_far_apart():
     for k in (2, 3, 4, 10):
         m = language_id.codewords(k)

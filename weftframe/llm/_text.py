@@ -21,8 +21,8 @@ NOT_WORD = ~_ALNUM
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Row slices of a batch with about `most` bytes of text each (one row at least), with their bytes and row offsets.
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Row slices of a batch with about `most` bytes of text each (one row at least) and at most `rows` rows, with their bytes and row offsets.
 
     A null text counts as empty.
     """
@@ -38,7 +38,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) ->
     at = 0
     while at < len(arr):
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        to = min(to, len(arr))
+        to = min(to, at + rows, len(arr))
         yield batch.slice(at, to - at), raw[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
 
