@@ -11,7 +11,7 @@ from weftframe.llm import language_id
 
 from .helpers import corpus, prose, ugly_rows, with_clashes
 from .test_decontaminate import brute as brute_leaks
-from .test_jaccard import brute as brute_pairs
+from .test_jaccard import brute as brute_classes
 from .test_jaccard import near_copies
 
 BENCH = [(1, prose(70, 30, fresh=True)), (2, prose(71, 25, fresh=True)), (3, "short")]
@@ -35,20 +35,6 @@ def judged(model, text):
     return bool(language_id.judged(model, data, np.array([0, len(data)]), 0.02)[3][0])
 
 
-def brute_components(pairs):
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b, _ in sorted(pairs):
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return {x: find(x) for x in list(root)}
-
-
 def brute_cut(data, k=50):
     """Each text without the words of windows that an earlier place has, in order of id and position."""
     seen, out = set(), []
@@ -84,8 +70,8 @@ def test_stages_equal_brute_force(spark, folder):
     model = language_id.fit(docs)
     clear = [(r[0], r[1]) for r in data if not judged(model, r[1])]
     names = [(100 + i) for i in range(8)]
-    root = brute_components(brute_pairs(clear, 0.5))
-    single = [(i, t) for i, t in clear if root.get(i, i) == i]
+    root = {i: c for i, c, _ in brute_classes(clear, 0.5)}
+    single = [(i, t) for i, t in clear if root[i] in (None, i)]
     fresh = brute_cut(single)
     leaks = {r[0] for r in brute_leaks(fresh, BENCH)}
     left = {i: len(words(t)) for i, t in fresh if i not in leaks}
