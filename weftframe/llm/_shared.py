@@ -89,3 +89,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def classes(reps: DataFrame, found: DataFrame, *carried: str) -> DataFrame:
+    """node, class_id, class_node, links, and carried columns of those rows of reps (node, id, copies) that have links.
+
+    found holds numbers of links (a: node, n) and edges (a, b: nodes) that tie together what is linked. A node's copies are linked to each other. A class's id
+    and node are the smallest ones of its nodes.
+    """
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    roots = components(found.where("b is not null"))
+    each = reps.select("node", "id", "copies", *carried).join(counts, "node", "left").join(roots, "node", "left")
+    each = each.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("n", F.lit(0)) + F.col("copies") - 1}).where("links > 0")
+    first = each.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
+    return each.join(first, "root").select("node", F.col("first.id").alias("class_id"), F.col("first.node").alias("class_node"), "links", *carried)
