@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ PAIRS = 256
 WIDTH = 4096
 
 
+@lru_cache(16)
+def turns(dim: int, rotations: int) -> list[np.ndarray]:
+    """Random orthogonal maps to an even number of elements."""
+    rng, full = np.random.default_rng(13), dim + dim % 2
+    return [np.linalg.qr(rng.standard_normal((full, full)))[0][:, :dim].T.astype(np.float32) for _ in range(rotations)]
+
+
 @dataclass
 class Caps:
     """The filters for vectors of one number of elements."""
@@ -46,11 +54,9 @@ class Caps:
     height: float = 0.0
 
     def __post_init__(self):
-        rng = np.random.default_rng(11)
         self.width = -(-self.dim // 2)
-        full = 2 * self.width
-        self.turns = [np.linalg.qr(rng.standard_normal((full, full)))[0][:, : self.dim].T.astype(np.float32) for _ in range(self.rotations)]
-        words = rng.standard_normal((self.rotations, 2, self.codes, self.width))
+        self.turns = turns(self.dim, self.rotations)
+        words = np.random.default_rng(11).standard_normal((self.rotations, 2, self.codes, self.width))
         self.words = (words / np.linalg.norm(words, axis=3, keepdims=True) / np.sqrt(2)).astype(np.float32)
 
     def scores(self, x: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +95,7 @@ class Caps:
             best = np.maximum(best, common.reshape(PAIRS, -1).max(1))
             sizes.append((sx[0], np.sort(sx[1], axis=1)))
         self.height = float(np.quantile(best, 1 - recall, method="lower")) - 1e-6
-        return float(np.mean([sum(self.codes - np.searchsorted(second[p], self.height - first[p]).astype(np.int64).mean() for first, second in sizes) * self.codes for p in range(0, PAIRS, 8)]))
+        return float(np.mean([sum(self.codes - np.searchsorted(second[p], self.height - first[p]).astype(np.int64).mean() for first, second in sizes) * self.codes for p in range(PAIRS)]))
 
 
 def caps_for(dim: int, vectors: int, threshold: float, recall: float, rotations: int, load: float) -> Caps:
