@@ -81,5 +81,13 @@ def test_same_result_whatever_the_order(spark):
     assert rows(packing.pack(docs, 50)) == rows(packing.pack(docs.orderBy("text").repartition(5), 50))
 
 
+def test_copies_of_one_row_go_to_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    out = packing.pack(corpus(spark, [(1, "one two three")] * 500), 50, rows_per_shard=50).collect()
+    assert len(out) == 500 and len({r["bin"].split("-")[0] for r in out}) == 10
+    places = {(r["bin"], r["bin_start"] + k) for r in out for k in range(3)}
+    assert len(places) == 1500
+
+
 def test_empty_table(spark):
     assert packing.pack(corpus(spark, [])).count() == 0

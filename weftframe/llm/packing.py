@@ -2,8 +2,9 @@
 
 A sequence (bin) holds `capacity` words. A document longer than that fills whole sequences of its own first; its rest is placed like
 a short document: where the sum over residual gaps g of (open bins with gap g)^2 becomes smallest; ties go to the smallest
-resulting gap, then to an existing bin before a new one. Packing is local to a shard: shards are hashes of the row, their
-number follows from the row count (`rows_per_shard`), and only ids and lengths are shuffled.
+resulting gap, then to an existing bin before a new one. Packing is local to a shard: shards are hashes of the row and of its number among
+equal rows, so that any number of copies spreads over all shards; their number follows from the row count (`rows_per_shard`). The texts are read once,
+and only ids and lengths are shuffled.
 
 Defined results: a null or empty text, or one of white space only, has length 0 and takes no place: bin null, 0 words. Repeated rows and
 repeated ids are packed each on their own; a null doc_id is passed on; an empty table gives no rows.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from . import _shared
 
 SCHEMA = "did bigint, n_words bigint, part int, part_start bigint, part_words int, bin string, bin_start int"
+CHUNK = 1 << 16
 SCHEMA_REST = ["n_words", "part", "part_start", "part_words", "bin", "bin_start"]
 
 
@@ -81,28 +83,34 @@ def pack(docs: DataFrame, capacity: int = 2048, rows_per_shard: int = 20_000) ->
         F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x20]+")), F.lit(0)).cast("bigint").alias("n_words"),
         F.xxhash64("doc_id", "text").alias("key"),
     )
-    shards = max(1, -(-docs.count() // rows_per_shard))
-    none = sized.where("n_words = 0").selectExpr("did", "n_words", "0 part", "0L part_start", "0 part_words", "cast(null as string) bin", "cast(null as int) bin_start")
+    sized = _shared.stash(sized.groupBy("did", "n_words", "key").agg(F.count("*").alias("copies")), "lengths")
+    shards = max(1, -(-(sized.agg(F.sum("copies")).first()[0] or 0) // rows_per_shard))
+    # equal rows are numbered, in two steps as an array has a largest size
+    each = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / CHUNK))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("copies"), (F.col("chunk") + 1) * CHUNK) - 1)))
+    each = each.select("did", "n_words", "key", "copy", F.pmod(F.xxhash64("key", "copy"), F.lit(shards)).alias("shard"))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "did"], kind="stable", ignore_index=True)  # the same packing whatever order rows come in
+        pdf = pdf.sort_values(["key", "did", "copy"], ignore_index=True)  # the same packing whatever order rows come in
+        none = pdf[pdf["n_words"] == 0]
+        pdf = pdf[pdf["n_words"] > 0]
         rows = pack_shard(pdf["n_words"].tolist(), capacity)
-        name = int(pdf["shard"].iloc[0])
+        name = int(pdf["shard"].iloc[0]) if len(pdf) else 0
         i = np.array([r[0] for r in rows], np.int64)
+        zero = [0] * len(none)
         return pd.DataFrame(
             {
-                "did": pdf["did"].to_numpy()[i],
-                "n_words": pdf["n_words"].to_numpy()[i],
-                "part": [r[1] for r in rows],
-                "part_start": [r[2] for r in rows],
-                "part_words": [r[3] for r in rows],
-                "bin": [f"{name}-{r[4]}" for r in rows],
-                "bin_start": [r[5] for r in rows],
+                "did": np.append(pdf["did"].to_numpy()[i], none["did"].to_numpy()),
+                "n_words": np.append(pdf["n_words"].to_numpy()[i], none["n_words"].to_numpy()),
+                "part": [r[1] for r in rows] + zero,
+                "part_start": [r[2] for r in rows] + zero,
+                "part_words": [r[3] for r in rows] + zero,
+                "bin": [f"{name}-{r[4]}" for r in rows] + [None] * len(none),
+                "bin_start": pd.array([r[5] for r in rows] + [None] * len(none), "Int32"),
             }
         )
 
-    packed = sized.where("n_words > 0").withColumn("shard", F.pmod("key", F.lit(shards)))
-    return packed.groupBy("shard").applyInPandas(shard, SCHEMA).union(none).select(_shared.real_id().alias("doc_id"), *SCHEMA_REST)
+    return each.groupBy("shard").applyInPandas(shard, SCHEMA).select(_shared.real_id().alias("doc_id"), *SCHEMA_REST)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
