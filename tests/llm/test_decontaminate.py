@@ -17,13 +17,19 @@ def distance(item, text):
     return min(row)
 
 
-def brute(docs, items, rate=0.06, least=24):
+def brute(docs, items, rate=0.06):
     out = []
     for i, t in docs:
-        for k, q in {*items}:
-            a, b = _text.plain_text(q or ""), _text.plain_text(t or "")
-            if len(a) >= least and b and (d := distance(a, b)) <= int(len(a) * rate):
-                out.append((i, k, d, int(len(a) * rate)))
+        for k, a in {(k, _text.plain_text(q or "")) for k, q in items}:
+            b, budget = _text.plain_text(t or ""), int(len(a) * rate)
+            if not a or not b:
+                continue
+            if not budget:
+                d = 0 if f" {a} " in f" {b} " else 1
+            else:
+                d = distance(a, b)
+            if d <= budget:
+                out.append((i, k, d, budget))
     return sorted(out, key=repr)
 
 
@@ -39,11 +45,15 @@ def test_equals_brute_force(spark):
     items = [(k, prose(500 + k, 14, fresh=True)) for k in range(6)] + [(6, "too short"), (7, None), (8, "!!!"), (None, prose(600, 12)), (9, prose(500, 14, fresh=True).upper())]
     docs = [(i, prose(i, 25, fresh=True)) for i in range(10)]
     docs += [(100 + 10 * k + e, f"{prose(k, 8)} {edited(rng, items[k][1], e)} {prose(e, 8)}") for k in range(6) for e in (0, 1, 3, 5, 8, 12)]
+    docs += [(300, "This one is too short."), (301, "too, SHORT"), (302, "too shortly"), (303, "not too"), (304, "short"), (305, "too short")]
     docs += [(200, items[0][1]), (200, items[0][1]), (None, items[1][1]), (201, items[2][1][3:]), (202, items[2][1][:-4])]
     got = rows(decontaminate.contaminated(corpus(spark, docs), spark.createDataFrame(items, ITEMS)))
     assert got == brute(docs, items)
-    in_parts = rows(decontaminate.contaminated(corpus(spark, docs), spark.createDataFrame(items, ITEMS), part_bytes=200))
+    assert {r[0] for r in got if r[1] == 6} == {300, 301, 305}
+    in_parts = rows(decontaminate.contaminated(corpus(spark, docs), spark.createDataFrame(items, ITEMS), part_bytes=200, chunk_bytes=1000))
     assert in_parts == got
+    left = decontaminate.drop_contaminated(corpus(spark, docs), spark.createDataFrame(items, ITEMS), part_bytes=200, chunk_bytes=1000)
+    assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted((i for i, _ in docs if i not in {r[0] for r in got}), key=repr)
 
 
 def test_ugly_rows_and_clashing_columns(spark):
@@ -64,9 +74,16 @@ def test_empty_tables(spark):
     assert decontaminate.drop_contaminated(corpus(spark, []), items).count() == 0
 
 
-def test_query_equals_brute_force_on_whole_items(spark):
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(9)
     d = "/root/testdata/sf0.001"
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op4_decontamination(spark, d).collect()}
-    docs = [(r[0], _text.plain_text(r[1])) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    short = [(i, t[:400]) for i, t in docs[:40]] + [(10_000 + i, f"before {edited(rng, q[:150], i % 9)} after") for i, q in items]
+    items = [(i, q[:150]) for i, q in items]
+    corpus(spark, short).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(decontaminate.op4_decontamination(spark, str(tmp_path))) == brute(short, items)
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.op4_decontamination(spark, d).collect()}
     items = [(r[0], _text.plain_text(r[1])) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    assert {(i, k) for i, t in docs for k, q in items if q in t} <= got
+    assert {(i, k) for i, t in docs for k, q in items if q in _text.plain_text(t)} <= whole
