@@ -49,6 +49,30 @@ def test_a_damaged_file_ends_where_its_chain_does(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(a + b"garbage" + b)
     (tmp_path / "empty.warc").write_bytes(b"")
     assert rows(warc.pages_of(warc.read_warc(spark, f"file://{tmp_path}", 50))) == [(1, "a", "one")]
+    assert [r["path"].endswith("x.warc") for r in warc.damaged(spark, f"file://{tmp_path}", 50).collect()] == [True]
+
+
+@pytest.mark.parametrize("split", [1000, 64 << 10, 1 << 20, 32 << 20])
+def test_headers_of_any_length(spark, tmp_path, split):
+    a, b, c = (warc.record(i, f"u{i}", "z" * 100) for i in range(3))
+    (tmp_path / "x.warc").write_bytes(a + b.replace(b"WARC-Date", b"X-Long: " + b"y" * (3 << 20) + b"\r\nWARC-Date") + c)
+    if split < 64 << 10:  # as many splits as that take long
+        (tmp_path / "x.warc").write_bytes(a + b.replace(b"WARC-Date", b"X-Long: " + b"y" * 20_000 + b"\r\nWARC-Date") + c)
+    assert [r[0] for r in rows(warc.pages_of(warc.read_warc(spark, f"file://{tmp_path}", split)))] == [0, 1, 2]
+    assert warc.damaged(spark, f"file://{tmp_path}", split).count() == 0
+
+
+def test_magic_without_an_end_reads_the_file_once(tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.0\r\nno end " * 20_000)
+    size = (tmp_path / "x.warc").stat().st_size
+    view = warc.Window(f"file://{tmp_path}", str(tmp_path / "x.warc"), size, 0, 1000)
+    assert warc.split_links(view, 0, 1000) == {} and view.blank[1] == -1
+
+
+def test_clashing_columns(spark):
+    names = "path size lo at then entry offset headers content rows part".split()
+    data = [(1, "u", "x"), (2, None, None)]
+    assert rows(back(spark, pages(spark, data).withColumns({n: F.lit("mine") for n in names}), 50)) == data
 
 
 def test_query_reads_back_all_pages(spark):

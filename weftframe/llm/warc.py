@@ -7,7 +7,7 @@ reach, so rounds grow with the logarithm of the splits in a file) retains the of
 each entered split is then read along its chain. Only offsets are shuffled.
 
 Defined results: an empty file has no records; where a chain meets something that is not a record (a damaged file) it ends, and later
-records of that file are unreachable and left out. A null page_id, url or html is written and read back as null, an empty html as
+records of that file are unreachable and left out; damaged() lists those places. A header may have any length. A null page_id, url or html is written and read back as null, an empty html as
 empty. Repeated rows are records of their own; extra columns are not written.
 """
 
@@ -29,7 +29,6 @@ from . import _shared
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", re.IGNORECASE)
-MOST_HEADER = 1 << 20
 MOST_TASKS = 50_000
 
 
@@ -75,6 +74,7 @@ class Window:
     def __init__(self, folder: str, path: str, size: int, lo: int, hi: int):
         self.file = pafs.FileSystem.from_uri(folder)[0].open_input_file(path)
         self.size, self.lo = size, lo
+        self.blank = (0, -1)  # no header ends between these two places but at the second
         self.bytes = bytes(self.file.read_at(min(hi, size) - lo, lo))
 
     def upto(self, end: int) -> None:
@@ -88,18 +88,29 @@ class Window:
         self.upto(at + 10)
         if not MAGIC.match(self.bytes, at - self.lo):
             return None
+        end = self.header_end(at)
+        if end < 0:
+            return None
+        found = LENGTH.search(self.bytes, at - self.lo + 8, end - self.lo)
+        return (end + 4, int(found[1])) if found else None
+
+    def header_end(self, at: int) -> int:
+        """The first empty line from `at` on, read as far as it takes; -1 if the file has none. Many candidates before one empty line cost one search."""
+        begin, end = self.blank
+        if begin <= at <= end:
+            return end
+        if end < 0 < begin <= at:  # none from begin on
+            return -1
         seek = at
-        while True:
-            end = self.bytes.find(b"\r\n\r\n", seek - self.lo)
+        while (found := self.bytes.find(b"\r\n\r\n", seek - self.lo)) < 0:
             have = self.lo + len(self.bytes)
-            if end >= 0 or have >= self.size or have - at > MOST_HEADER:
-                break
+            if have >= self.size:
+                self.blank = (max(at, 1), -1)
+                return -1
             seek = max(at, have - 3)
-            self.upto(have + (16 << 10))
-        if end < 0:
-            return None
-        found = LENGTH.search(self.bytes, at - self.lo + 8, end)
-        return (self.lo + end + 4, int(found[1])) if found else None
+            self.upto(have + max(16 << 10, have - at))  # twice as far each time
+        self.blank = (at, self.lo + found)
+        return self.lo + found
 
     def close(self) -> None:
         self.file.close()
@@ -128,8 +139,8 @@ def splits(spark: SparkSession, folder: str, split_bytes: int) -> tuple[DataFram
     return table.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split_bytes))).alias("lo")).repartition(tasks), tasks
 
 
-def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
-    """(path, size, lo, entry): where each split that records begin in is really entered; in as many tasks as splits() has."""
+def chains(spark: SparkSession, folder: str, split_bytes: int) -> tuple[DataFrame, int]:
+    """(path, size, at, then) of the candidates at which splits are really entered; and the number of tasks."""
     parts, tasks = splits(spark, folder, split_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +165,25 @@ def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
         jump = _shared.stash(jump, "warc-jump")
         reach = reach.union(reach.join(jump, ["path", "at"]).select("path", F.col("then").alias("at")))
         jump = jump.alias("a").join(jump.alias("b"), F.expr("a.path = b.path and a.then = b.at")).selectExpr("a.path", "a.at", "b.then")
-    return reach.join(links, ["path", "at"]).select("path", "size", (F.floor(F.col("at") / split_bytes) * split_bytes).alias("lo"), F.col("at").alias("entry")).repartition(tasks)
+    return reach.join(links, ["path", "at"]).select("path", "size", "at", "then"), tasks
+
+
+def entries(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame:
+    """(path, size, lo, entry): where each split that records begin in is really entered; in as many tasks as splits() has."""
+    found, tasks = chains(spark, folder, split_bytes)
+    return found.select("path", "size", (F.floor(F.col("at") / split_bytes) * split_bytes).alias("lo"), F.col("at").alias("entry")).repartition(tasks)
+
+
+def damaged(spark: SparkSession, folder: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """(path, size, entry): files whose chain doesn't end with the file, and the last place at which it entered a split; records are read from there to the damage.
+
+    Files that don't begin with a record are not listed: they are no WARC files.
+    """
+    found, _ = chains(spark, folder, split_bytes)
+    last = found.groupBy("path", "size").agg(F.max_by(F.struct("at", "then"), "at").alias("x"))
+    return last.where("x.then != size").select("path", "size", F.col("x.at").alias("entry"))
+
+
 
 
 RECORD = "path string, offset bigint, headers map<string,string>, content binary"
