@@ -148,6 +148,10 @@ def bucket(x: np.ndarray, copies: np.ndarray, own: np.ndarray, i: int, j: int, b
         np.fill_diagonal(hit, False)
     if not hit.any():
         return None
+    some = np.union1d(left[hit.any(1)], right[hit.any(0)])
+    lists = [np.frombuffer(before[k], np.int64) for k in some.tolist()]
+    if (np.unique(np.concatenate(lists), return_counts=True)[1] == len(some)).any():  # an earlier filter held them all
+        return None
     label = tied(hit, left, right, len(x))
     hit &= ~met_before(hit, [np.frombuffer(b, np.int64) for b in before], left, right)
     count = np.zeros(len(x), np.int64)
