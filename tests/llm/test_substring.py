@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from weftframe.llm import substring
@@ -34,17 +35,39 @@ def brute(data, k):
     return sorted(out)
 
 
-def found(docs, k, m):
-    return sorted({(r["did"], r["first"], r["end"], r["leads"]) for r in substring.repeats(docs, k, m).collect()})
+def found(docs, k, m, most=8 << 20):
+    return sorted({(r["did"], r["first"], r["end"], r["leads"]) for r in substring.repeats(docs, k, m, most).collect()})
 
 
-@pytest.mark.parametrize(("k", "m"), [(8, 3), (5, 5), (50, 10)])
-def test_equals_brute_force(spark, k, m):
+@pytest.mark.parametrize(("k", "m", "most", "longest"), [(8, 3, 8 << 20, 512), (5, 5, 0, 512), (50, 10, 8 << 20, 7), (50, 10, 2000, 20)])
+def test_equals_brute_force(spark, monkeypatch, k, m, most, longest):
+    monkeypatch.setattr(substring, "LONGEST", longest)
     passage = prose(50, 70, fresh=True)
     data = [(i, prose(i, 40)) for i in range(25)]
     data += [(100 + i, f"{prose(100 + i, 30, fresh=True)} {passage} {prose(200 + i, 20, fresh=True)}") for i in range(6)]
     data += [(300, " ".join([passage] * 3)), (301, "a b " * 60), (302, passage.replace(" ", "\n\t ")), (303, passage)]
-    assert found(corpus(spark, data), k, m) == brute(data, k)
+    assert found(corpus(spark, data), k, m, most) == brute(data, k)
+
+
+def test_numbers_are_equal_where_runs_are():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 7, 50):
+        ids = np.tile(rng.integers(0, 3, 90), 3)
+        got = substring.numbered(ids, k)
+        want = [tuple(ids[i : i + k]) for i in range(len(ids) - k + 1)]
+        assert len({*zip(got.tolist(), want, strict=True)}) == len({*got.tolist()}) == len({*want})
+    assert len(substring.numbered(np.array([1, 2]), 5)) == 0
+
+
+def test_a_long_repetition_is_one_short_string(spark):
+    text = "word " * 400_000  # 2 MB
+    docs = corpus(spark, [(1, text), (2, "other " + text)])
+    n = 400_000 - 49
+    assert found(docs, 50, 10) == [(1, 0, 1, True), (1, 1, n, False), (2, 1, n + 1, False)]
+    keyed = docs.selectExpr("doc_id did", "doc_id th", "text")
+    minis = substring.places(keyed, 50, 10)
+    strings = substring.packed(keyed, minis.select("did", "th", "start", "windows", "mini"), 50)
+    assert strings.select("words").distinct().count() <= 5
 
 
 def test_ugly_rows(spark):

@@ -8,8 +8,12 @@ the minimiser's bucket, where sorting the windows of all strings counts them exa
    occurs once in the whole corpus can't hold a repeated window and goes no further.
 2. The others are packed. Equal strings are combined before they travel, so a passage in millions of copies is one record with a count
    and its first place.
-3. Each bucket sorts its windows, adds up the counts, and finds where each window occurs first: in order of doc_id, then position.
-4. The findings go back to all places of each string.
+3. Each bucket sorts its windows, adds up the counts, and finds where each window occurs first: in order of doc_id, then position. Many buckets are
+   sorted at once: words become numbers, and numbers of words numbers of ever longer runs of words, up to k, by sorting; equal numbers
+   mean equal windows. A super-k-mer of more than LONGEST windows travels as several, so equal pieces of a long repetition are one string.
+4. The windows of a bucket with more than `most` bytes of different strings are sorted by Spark instead, as pairs of hashes with their places,
+   so that no task holds a bucket whose minimiser is common.
+5. The findings go back to all places of each string.
 
 Defined results: a text of fewer than k words, null and empty ones included, has no windows. A null doc_id sorts first and is
 reported as null. Rows that share id and text share their place: both count, and both are where the window occurs first.
@@ -19,17 +23,17 @@ Repetition within one document counts. Extra columns are ignored, and carried al
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _shared, _text
 
 U = np.uint64
+LONGEST = 512
 
 
 def super_kmers(h: np.ndarray, rows: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +56,10 @@ def super_kmers(h: np.ndarray, rows: np.ndarray, k: int, m: int) -> tuple[np.nda
     new[1:] = (mini[1:] != mini[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
-    start, mini = at[first], mini[first]
+    parts = -(-count // LONGEST)
+    start, mini, left = np.repeat(at[first], parts), np.repeat(mini[first], parts), np.repeat(count, parts)
+    nth = (np.arange(len(start)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+    start, count = start + nth, np.minimum(left - nth, LONGEST)
     view = np.lib.stride_tricks.sliding_window_view(grams, wide)
     a = start + (view[start] == mini[:, None]).argmax(1)
     end = start + count - 1
@@ -110,63 +117,130 @@ def packed(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 RUNS = "array<struct<x:int,y:int>>"
 FOUND = f"mini bigint, a bigint, b bigint, did bigint, th bigint, start int, repeated {RUNS}, leading {RUNS}, rest {RUNS}"
+RUN_TYPE = pa.struct([("x", pa.int32()), ("y", pa.int32())])
 
 
-def runs(marks: list[int]) -> list[dict]:
-    """Runs x to y (exclusive) of ascending numbers."""
-    out: list[dict] = []
-    for v in marks:
-        if out and out[-1]["y"] == v:
-            out[-1]["y"] = v + 1
-        else:
-            out.append({"x": v, "y": v + 1})
-    return out
-
-
-def count_bucket(strings: list[tuple[bytes, int, tuple]], k: int) -> list[tuple[list[dict], list[dict], list[dict]]]:
-    """For the distinct strings of one minimiser, each with its count and first place, runs of windows: those that occur twice or more
+def runs(of: np.ndarray, at: np.ndarray, size: int) -> pa.ListArray:
+    """For each of size strings the runs x to y (exclusive) of its numbers; of and at ascend together."""
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.flatnonzero(np.append(new, True)[1:]) if len(of) else first
+    pairs = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array((at[last] + 1).astype(np.int32))], fields=list(RUN_TYPE))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(size + 1)).astype(np.int32)), pairs)
+
+
+def numbered(ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for each k consecutive ids, equal where those are equal."""
+    width = 1
+    while width < k:
+        bits = max(1, int(ids.max()).bit_length())
+        steps = sorted({min(j * width, k - width) for j in range(63 // bits)})
+        size = len(ids) - steps[-1]
+        if size <= 0:
+            return np.zeros(0, np.int64)
+        packed = np.zeros(size, np.int64)
+        for s in steps:
+            packed = packed << bits | ids[s : s + size]
+        width += steps[-1]
+        ids = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+    return ids
+
+
+def windows_of(strings: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's string, place in it and first word; and the starts and ends of all words in the strings' bytes, one blank between them."""
+    text = np.frombuffer(b" ".join(strings.to_pylist()), np.uint8)
+    blank = np.flatnonzero(text == 32)
+    starts, ends = np.append(0, blank + 1), np.append(blank, len(text))
+    size = np.diff(np.append(0, np.cumsum(np.asarray(pc.binary_length(strings)).astype(np.int64) + 1)))
+    first = np.searchsorted(starts, np.cumsum(size) - size)
+    count = np.diff(np.append(first, len(starts))) - k + 1
+    of = np.repeat(np.arange(len(strings)), count)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return of, at, first[of] + at, starts, ends
+
+
+def count_windows(strings: pa.Array, count: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, k: int) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
+    """For distinct strings of whole buckets, each with its count and first place, runs of windows: those that occur twice or more
     in all; of them those that occur first at this string's first place; and the others of them.
     """
-    windows = []
-    for i, (words, count, (did, th, start)) in enumerate(strings):
-        bounds = [-1, *(p for p, c in enumerate(words) if c == 32), len(words)]
-        windows += [(words[bounds[j] + 1 : bounds[j + k]], did, th, start + j, count, i, j) for j in range(len(bounds) - k)]
-    windows.sort()
-    repeated: list[list[int]] = [[] for _ in strings]
-    leading: list[list[int]] = [[] for _ in strings]
-    for _, same in groupby(windows, key=itemgetter(0)):
-        first, *others = same
-        if others or first[4] > 1:
-            for w in (first, *others):
-                repeated[w[5]].append(w[6])
-            leading[first[5]].append(first[6])
-    return [(runs(sorted(r)), runs(sorted(x)), runs(sorted({*r} - {*x}))) for r, x in zip(repeated, leading, strict=True)]
-
-
-def counted(strings: DataFrame, k: int) -> DataFrame:
+    of, at, word, starts, ends = windows_of(strings, k)
+    text = np.frombuffer(b" ".join(strings.to_pylist()), np.uint8)
+    cuts = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(text[text != 32])])
+    number = numbered(words.dictionary_encode().indices.to_numpy().astype(np.int64), k)[word]
+    order = np.lexsort((start[of] + at, th[of], did[of], number))
+    number, of, at = number[order], of[order], at[order]
+    new = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    often = np.repeat(np.add.reduceat(count[of], new) > 1, np.diff(np.append(new, len(of))))
+    leads = np.zeros(len(of), bool)
+    leads[new] = True
+    order = np.lexsort((at, of))
+    of, at, often, leads = of[order], at[order], often[order], leads[order]
+    return tuple(runs(of[m], at[m], len(strings)) for m in (often, often & leads, often & ~leads))
+
+
+def counted(strings: DataFrame, k: int, most: int, together: int = 4 << 20) -> DataFrame:
     """Sorts and counts each bucket; one row for each distinct string with a repeated window."""
-    names = ["mini", "a", "b", "did", "th", "start"]
-    kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket: list[tuple]) -> Iterator[pa.RecordBatch]:
-            found = count_bucket([(r[6], r[7], (r[3], r[4], r[5])) for r in bucket], k)
-            hits = [(*r[:6], *f) for r, f in zip(bucket, found, strict=True) if f[0]]
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True)], [*names, "repeated", "leading", "rest"])
-
-        bucket: list[tuple] = []
+        def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            words = table["words"].chunk(0)
+            found = count_windows(words, *(table[c].to_numpy() for c in ("count", "did", "th", "start")), k)
+            out = pa.RecordBatch.from_arrays([*(table[c].chunk(0) for c in ("mini", "a", "b", "did", "th", "start")), *found], ["mini", "a", "b", "did", "th", "start", "repeated", "leading", "rest"])
+            yield out.filter(pa.array(np.asarray(found[0].value_lengths()) > 0))
+
+        held, size = [], 0
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket and bucket[0][0] != r[0]:
-                    yield from close(bucket)
-                    bucket = []
-                bucket.append(r)
-        yield from close(bucket)
+            for part, data, _ in _text.pieces(batch, "words", most=1 << 20):
+                mini = part.column(0).to_numpy()
+                if size > together and (new := np.flatnonzero(mini != held[-1].column(0)[-1].as_py())).size:
+                    cut = int(new[0])  # the last bucket ends here
+                    yield from close([*held, part.slice(0, cut)] if cut else held)
+                    held, size, part = [], 0, part.slice(cut)
+                held.append(part)
+                size += len(data)
+        if held:
+            yield from close(held)
 
     distinct = strings.groupBy("mini", "words").agg(F.count("*").alias("count"), F.min(F.struct("did", "th", "start")).alias("first"))
-    distinct = distinct.select("mini", *fingerprint(), "first.did", "first.th", "first.start", "words", "count")
-    return distinct.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, FOUND)
+    distinct = _shared.stash(distinct.select("mini", *fingerprint(), "first.did", "first.th", "first.start", "words", "count"), "strings")
+    large = _shared.stash(distinct.groupBy("mini").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > most).select("mini"), "large-buckets")
+    found = distinct.join(large, "mini", "left_anti").repartition("mini").sortWithinPartitions("mini").mapInArrow(run, FOUND)
+    return found.union(counted_by_spark(distinct.join(large, "mini", "left_semi"), k)) if large.take(1) else found
+
+
+def counted_by_spark(distinct: DataFrame, k: int) -> DataFrame:
+    """The same for large buckets: windows as 128 bits, each a row."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in _text.pieces(batch, "words", most=1 << 20):
+                starts, ends, rows = _text.spans(data, off, _text.BLANK)
+                h = _text.word_hashes(data, starts, ends)
+                one, ok = _text.ngrams(h, rows, k)
+                two, _ = _text.ngrams(_text.mix(h + U(0x9E3779B97F4A7C15)) + (ends - starts).astype(U), rows, k)
+                word = np.flatnonzero(ok)
+                row = _text.rows_of(rows)[word]
+                take = pa.array(row)
+                own = [part.column(part.schema.get_field_index(c)).take(take) for c in ("mini", "a", "b", "did", "th", "start", "count")]
+                yield pa.RecordBatch.from_arrays([pa.array(one[word].view(np.int64)), pa.array(two[word].view(np.int64)), pa.array((word - rows[row]).astype(np.int32)), *own], ["one", "two", "j", "mini", "a", "b", "did", "th", "start", "count"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(6)
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(marks.value_lengths()))
+            at, leads = (marks.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            found = [runs(of[m], at[m], batch.num_rows) for m in (np.ones(len(of), bool), leads, ~leads)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *found], ["mini", "a", "b", "did", "th", "start", "repeated", "leading", "rest"])
+
+    each = distinct.mapInArrow(explode, "one bigint, two bigint, j int, mini bigint, a bigint, b bigint, did bigint, th bigint, start int, count bigint")
+    place = F.struct("did", "th", F.col("start") + F.col("j"), "a", "b", "j")
+    often = each.groupBy("one", "two").agg(F.sum("count").alias("n"), F.min(place).alias("first")).where("n > 1").select("one", "two", "first")
+    marked = each.join(often, ["one", "two"]).withColumn("leads", place == F.col("first"))
+    # a string has LONGEST windows at most
+    return marked.groupBy("mini", "a", "b", "did", "th", "start").agg(F.array_sort(F.collect_list(F.struct("j", "leads"))).alias("marks")).mapInArrow(joined, FOUND)
 
 
 def fingerprint() -> list[Column]:
@@ -174,7 +248,7 @@ def fingerprint() -> list[Column]:
     return [F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), "words").alias("b")]
 
 
-def repeats(docs: DataFrame, k: int = 50, m: int = 10) -> DataFrame:
+def repeats(docs: DataFrame, k: int = 50, m: int = 10, most: int = 8 << 20) -> DataFrame:
     """did, th, first, end, leads: maximal runs of consecutive windows, by the place of their first word, that occur twice or more in
     the corpus; leads tells whether the corpus has them nowhere earlier.
     """
@@ -182,7 +256,7 @@ def repeats(docs: DataFrame, k: int = 50, m: int = 10) -> DataFrame:
     minis = _shared.stash(places(keyed, k, m), "minimisers")
     often = minis.groupBy("mini").agg(F.sum("weight").alias("n")).where("n > 1").select("mini")
     strings = _shared.stash(packed(keyed, minis.join(often, "mini"), k), "super-kmers")
-    hits = counted(strings, k).withColumn("lead", F.struct("did", "th", "start")).drop("did", "th", "start")
+    hits = counted(strings, k, most).withColumn("lead", F.struct("did", "th", "start")).drop("did", "th", "start")
     back = strings.select("did", "th", "start", "mini", *fingerprint()).join(hits, ["mini", "a", "b"])
 
     def marked(column: str, leads: bool) -> Column:
