@@ -3,7 +3,8 @@
 A rotated unit vector is cut into two parts; each part has `codes` random unit codewords, and every pair of codewords is a filter direction (a
 structured random product code, so codes ** 2 directions cost 2 * codes inner products). There are `rotations` such codes, as filters of one code
 go wrong together. List decoding extends codewords of the first part only while the best completion can still reach the height; it returns every filter
-whose cap of that height holds the vector. Vectors that share a filter are compared exactly.
+whose cap of that height holds the vector, and the nearest filter of each code, so that no vector is without one. Vectors that share a filter are
+compared exactly.
 
 The search is approximate. Its height is the largest at which, in a simulation of pairs that lie exactly at the threshold, the share `recall` of them shares
 a filter; closer pairs do so more often. The number of directions follows from that of the vectors: as many as it takes for a bucket to hold
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,6 @@ PAIRS = 256
 WIDTH = 4096
 
 
-@lru_cache(16)
 def turns(dim: int, rotations: int) -> list[np.ndarray]:
     """Random orthogonal maps to an even number of elements."""
     rng, full = np.random.default_rng(13), dim + dim % 2
@@ -52,29 +51,35 @@ class Caps:
     codes: int
     rotations: int
     height: float = 0.0
+    turns: list[np.ndarray] | None = None
 
     def __post_init__(self):
         self.width = -(-self.dim // 2)
-        self.turns = turns(self.dim, self.rotations)
+        self.turns = self.turns or turns(self.dim, self.rotations)
         words = np.random.default_rng(11).standard_normal((self.rotations, 2, self.codes, self.width))
         self.words = (words / np.linalg.norm(words, axis=3, keepdims=True) / np.sqrt(2)).astype(np.float32)
 
+    def __reduce__(self):  # the directions are drawn anew where they are used
+        return Caps, (self.dim, self.codes, self.rotations, self.height)
+
     def scores(self, x: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         y = x @ self.turns[turn]
         return y[:, : self.width] @ self.words[turn, 0].T, y[:, self.width :] @ self.words[turn, 1].T
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter), ascending, for unit rows x: all filters whose inner product reaches the height."""
+        """(row, filter), ascending, for unit rows x: all filters whose inner product reaches the height, and the nearest one of each code."""
         rows, found = [], []
         for turn in range(self.rotations):
             first, second = self.scores(x, turn)
             row, a = np.nonzero(first + second.max(1)[:, None] >= self.height)
             i, b = np.nonzero(first[row, a][:, None] + second[row] >= self.height)
-            rows.append(row[i])
-            found.append((turn * self.codes + a[i].astype(np.int64)) * self.codes + b)
+            rows += [row[i], np.arange(len(x))]
+            found += [(turn * self.codes + a[i].astype(np.int64)) * self.codes + b, (turn * self.codes + first.argmax(1)) * self.codes + second.argmax(1)]
         row, code = np.concatenate(rows), np.concatenate(found)
         order = np.lexsort((code, row))
-        return row[order], code[order]
+        row, code = row[order], code[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)]
+        return row[new], code[new]
 
     def fitted(self, threshold: float, recall: float) -> float:
         """Sets the height; returns how many filters hold a random vector."""
@@ -100,9 +105,9 @@ class Caps:
 
 def caps_for(dim: int, vectors: int, threshold: float, recall: float, rotations: int, load: float) -> Caps:
     """The fewest directions at which a bucket holds about `load` of that many vectors, as far as more directions make buckets smaller."""
-    last, codes = None, 16
+    last, codes, turned = None, 16, turns(dim, rotations)
     while True:
-        caps = Caps(dim, codes, rotations)
+        caps = Caps(dim, codes, rotations, turns=turned)
         held = vectors * caps.fitted(threshold, recall) / (rotations * codes**2)
         if last is not None and held > 0.9 * last[1]:
             return last[0]
