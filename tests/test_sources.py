@@ -195,3 +195,26 @@ def test_streams_take_the_same_filters(spark, tmp_path):
     q = streaming.write(sums, f"{tmp_path}/sums", f"{tmp_path}/ck2")
     q.awaitTermination(120)
     assert {r["n"] for r in spark.read.parquet(f"{tmp_path}/sums").collect()} <= {5}
+
+
+def test_rows_of_other_lengths_in_files_and_texts(spark, tmp_path):
+    long, short = "a,b,c\nx,xx,1\ny,\"y,y\",2,3\n", "a,b,c\nx,xx,1\ny,\nz,,\n"
+    (tmp_path / "long.csv").write_text(long)
+    (tmp_path / "short.csv").write_text(short)
+    for source in (long, str(tmp_path / "long.csv")):
+        with pytest.raises(Exception, match="column names in header"):
+            Table(spark=spark).csv_import(source).select("a").frame.collect()
+    with pytest.raises(Exception, match="column names in header"):
+        len(Table(spark=spark).csv_import(str(tmp_path / "long.csv")))
+    for source in (short, str(tmp_path / "short.csv")):
+        t = Table(spark=spark).csv_import(source)
+        assert [tuple(r) for r in t.frame.collect()] == [("x", "xx", "1"), ("y", "", None), ("z", "", "")]
+        assert len(t) == 3
+
+
+def test_star_transforms_take_one_pass_and_types_of_all_rows(spark):
+    text = "a,b,c\n" + "".join(f"{i},{i}.5,{'x' if i == 60 else i}\n" for i in range(80))
+    t = Table(spark=spark).csv_import(text, transforms={"*": float})
+    assert dict(t.frame.dtypes) == {"a": "double", "b": "double", "c": "string"}
+    t = Table(spark=spark).csv_import(text, transforms={"a": lambda s: int(s) if int(s) < 50 else int(s) / 4})
+    assert {r["a"] for r in t.frame.collect() if r["b"] in ("3.5", "79.5")} == {3.0, 19.75}

@@ -357,3 +357,71 @@ def test_conversions(spark):
     assert values(d.clone().compute_field("d", Table.parse_datetime("%Y-%m-%d", on_error=dt.datetime(1999, 1, 1))(F.col("s"))), "d")[1] == dt.datetime(1999, 1, 1)
     h = make(spark, [{"s": "0:03:45"}]).compute_field("d", Table.parse_timedelta("%H:%M:%S")(F.col("s")))
     assert values(h, "d") == [dt.timedelta(seconds=225)] and Table.parse_timedelta("%H:%M")("1:30") == dt.timedelta(hours=1.5)
+
+
+def test_can_is_searchable():
+    assert "can" not in words.STOPWORDS and {"can't", "isn't", "she'd", "t", ""} <= words.STOPWORDS
+    assert list(words.words("you can do", words.STOPWORDS)) == ["can"]
+
+
+def test_comparators_need_their_field(spark):
+    t = Table(spark=spark).insert_many([{"a": 1}, {"a": 2}])
+    for test in (Table.lt(3), Table.eq(None), Table.is_none(), Table.is_in([1]), Table.startswith("x"), Table.between(0, 3)):
+        with pytest.raises(AttributeError):
+            t.where(zz=test)
+    assert len(t.where(zz=Table.is_null())) == 2 and len(t.where(zz=Table.is_not_null())) == 0
+    assert len(t.where(zz=5)) == len(t.where(zz=None)) == 0
+    assert len(Table(spark=spark).where(zz=Table.lt(3))) == 0
+
+
+def test_attrgetter_gives_tuples_with_defaults():
+    rows_ = [{"a": "x", "c": 1}, {"a": "y", "c": None}, {"a": "a"}]
+    assert [attrgetter("a")(r) for r in rows_] == [("x",), ("y",), ("a",)]
+    assert [attrgetter("a", "c")(r) for r in rows_] == [("x", 1), ("y", None), ("a", None)]
+    assert [attrgetter("a", "c", defaults={"c": -1})(r) for r in rows_] == [("x", 1), ("y", None), ("a", -1)]
+
+
+def test_types_come_from_all_rows(spark):
+    t = Table("t", spark.range(100).withColumnRenamed("id", "a"))
+    t.compute_field("half", lambda r: r.a if int(r.a) < 50 else int(r.a) / 2)
+    t.compute_field("mixed", lambda r: None if int(r.a) < 30 else int(r.a) if int(r.a) < 60 else f"x{int(r.a)}")
+    t.compute_field("late", lambda r: 1 / (int(r.a) - 40) if int(r.a) >= 40 else None, default=7)
+    got = {r["a"]: r for r in t.frame.collect()}
+    assert got[3]["half"] == 3.0 and got[99]["half"] == 49.5
+    assert [got[i]["mixed"] for i in (5, 40, 99)] == [None, "40", "x99"]
+    assert got[40]["late"] == 7.0 and got[42]["late"] == 0.5
+    with pytest.raises(Exception, match="is no bigint"):
+        t.compute_field("bad", lambda r: int(r.a) / 2, returns="bigint").frame.collect()
+
+
+def test_medians_are_exact(spark):
+    import statistics
+
+    values = [(i % 7, float((i * 37) % 101), None if i % 3 else i) for i in range(500)]
+    t = Table("t", spark.createDataFrame(values, "a int, b double, c bigint").repartition(5))
+    got = {r["name"]: r["median"] for r in t.stats(rounded=False).frame.collect()}
+    for k, name in enumerate("abc"):
+        assert got[name] == statistics.median(v[k] for v in values if v[k] is not None)
+
+
+def test_present_options(spark):
+    import io
+
+    out = io.StringIO()
+    Table("Numbers", spark=spark).insert_many([{"a": 1, "b": "x"}, {"a": 20, "b": "y"}]).present(file=out, caption="two rows", show_header=False, show_lines=True)
+    assert out.getvalue().splitlines() == [" Numbers", "+----+---+", "|  1 | x |", "+----+---+", "| 20 | y |", "+----+---+", " two rows"]
+
+
+def test_remove_many_takes_the_first_equal_rows(spark):
+    t = Table(spark=spark).insert_many([{"a": v, "b": i} for i, v in enumerate("xyxzx")]).select("a b")
+    t.remove_many([{"a": "x", "b": 0}, {"a": "x", "b": 0}, {"a": "q", "b": 1}])
+    assert [r["b"] for r in t] == [1, 2, 3, 4]
+    u = Table(spark=spark).insert_many([{"a": v} for v in "xyxzx"])
+    assert [r["a"] for r in u.remove_many([{"a": "x"}, {"a": "x"}])] == ["y", "z", "x"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from weftframe.plans import scratch
+
+    scratch.stash(spark.range(5), "some")
+    assert scratch.clear(spark) >= 1 and scratch.clear(spark) == 0

@@ -35,18 +35,16 @@ def parse_sort(key: str | Iterable[Any], reverse: bool = False) -> list[Key]:
     return out
 
 
-def attrgetter(item: str, *items: str, defaults: dict[str, Any] | None = None) -> Callable[[Any], Any]:
-    """Like operator.attrgetter, but with defaults for attributes that are missing."""
-    defaults = defaults or {}
+def attrgetter(item: str, *items: str, defaults: dict[str, Any] | None = None) -> Callable[[Any], tuple]:
+    """A function that gives a tuple of a row's attributes, of one attribute as well; a missing one is its default, or None."""
+    given = defaults or {}
 
     def one(row: Any, path: str) -> Any:
         for name in path.split("."):
             try:
                 row = row[name] if isinstance(row, dict) else getattr(row, name)
             except (AttributeError, KeyError):
-                if path in defaults:
-                    return defaults[path]
-                raise AttributeError(path) from None
+                return given.get(path)
         return row
 
-    return (lambda row: tuple(one(row, p) for p in (item, *items))) if items else (lambda row: one(row, item))
+    return lambda row: tuple(one(row, p) for p in (item, *items))

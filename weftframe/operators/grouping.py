@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.order import visible
-from .record import namespace
+from .record import fitted, namespace
 
 NATIVE: dict[Any, Callable[[Column], Column]] = {
     sum: F.sum,
@@ -63,7 +63,7 @@ def summarized(df: DataFrame, keys: list[str], outputs: dict[str, Any], types: d
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         recs = [namespace_of(r) for r in pdf.to_dict("records")]
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, **{k: [fn(recs)] for k, fn in python.items()}})
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, **{k: [fitted(fn(recs), schema[k].dataType)] for k, fn in python.items()}})
 
     slow = rows.groupBy(*by).applyInPandas(run, schema)
     if len(python) < len(outputs):
@@ -78,5 +78,6 @@ def namespace_of(record: dict[str, Any]) -> Any:
 
 
 def _sampled(rows: DataFrame, by: list[Column], fn: Callable[[Any], Any]) -> T.DataType:
+    """By a few rows; a group's result that is of another type raises an error."""
     value = fn([namespace(r) for r in rows.limit(50).collect()])
     return T._infer_type(value) if value is not None else T.StringType()

@@ -34,21 +34,57 @@ def namespace(value: Any) -> Any:
     return value
 
 
-def _type_of(value: Any) -> T.DataType:
+def kind_name(value: Any) -> str | None:
+    """The type of a value as text; None for no value."""
     kind = T._infer_type(value, infer_dict_as_struct=True, prefer_timestamp_ntz=True)
-    return T.StringType() if isinstance(kind, T.NullType) else kind
+    return None if isinstance(kind, T.NullType) else kind.json()
 
 
-def sample_type(df: DataFrame, fn: Callable[[Any], Any], names: list[str]) -> T.DataType:
-    """By the first rows that give a value."""
-    for row in df.select(*[F.col(f"`{n}`") for n in names]).limit(20).collect():
+def merged(kinds: list[T.DataType]) -> T.DataType:
+    """Whole and other numbers become DOUBLE, structures the union of their fields, other mixtures text."""
+    if not kinds:
+        return T.StringType()
+    if all(isinstance(k, T.NumericType) and not isinstance(k, T.DecimalType) for k in kinds):
+        return kinds[0] if len({*kinds}) == 1 else T.DoubleType()
+    out = kinds[0]
+    try:
+        for k in kinds[1:]:
+            out = T._merge_type(out, k)
+    except Exception:  # they don't go together  # noqa: BLE001
+        return T.StringType()
+    return out
+
+
+def kind_over(df: DataFrame, fn: Callable[[Any], Any], arg: Column, errors: str = "raise") -> T.DataType:
+    """The type that holds fn's results over all rows: a pass of its own."""
+
+    def run(value: Any) -> str | None:
         try:
-            value = fn(namespace(row))
-        except Exception:  # that row's default will do  # noqa: BLE001, S112
-            continue
-        if value is not None:
-            return _type_of(value)
-    return T.StringType()
+            return kind_name(fn(value))
+        except Exception:  # its default will do, or it will be raised when the values are wanted
+            if errors == "raise":
+                raise
+            return None
+
+    found = df.select(F.udf(run, T.StringType())(arg).alias("k")).where("k is not null").distinct().collect()  # as many rows as types
+    return merged([T._parse_datatype_json_string(r[0]) for r in sorted(found)])
+
+
+def fitted(value: Any, kind: T.DataType) -> Any:
+    """The value as a column of that type takes it; a value it can't hold raises an error, where Spark would give null."""
+    if value is None:
+        return None
+    if isinstance(kind, T.BooleanType):
+        return bool(value)
+    if isinstance(kind, T.StringType):
+        return value if isinstance(value, str) else str(value)
+    if isinstance(kind, (T.DoubleType, T.FloatType)) and isinstance(value, int):
+        return float(value)
+    if isinstance(kind, T.IntegralType) and (isinstance(value, bool) or not isinstance(value, int)):
+        if isinstance(value, float) and value.is_integer() or hasattr(value, "__index__"):
+            return int(value)
+        raise TypeError(f"{value!r} is no {kind.simpleString()}")
+    return value
 
 
 def row_column(df: DataFrame, fn: Callable[[Any], Any], returns: T.DataType | str | None = None, errors: str = "raise", default: Any = None) -> Column:
@@ -60,18 +96,23 @@ def row_column(df: DataFrame, fn: Callable[[Any], Any], returns: T.DataType | st
     if isinstance(out, Column):
         return F.coalesce(out, F.lit(default)) if errors == "default" and default is not None else out
     names = visible(df)
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
     if returns is None:
-        returns = sample_type(df, fn, names)
+        returns = kind_over(df, lambda r: fn(namespace(r)), row, errors)
+        if errors == "default" and default is not None:
+            returns = merged([k for k in (returns, T._parse_datatype_json_string(kind_name(default))) if k is not None])
+    kind = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
 
     def run(row: Row) -> Any:
-        if errors == "raise":
-            return fn(namespace(row))
         try:
-            return fn(namespace(row))
-        except Exception:  # noqa: BLE001
-            return default
+            value = fn(namespace(row))
+        except Exception:
+            if errors == "raise":
+                raise
+            value = default
+        return fitted(value, kind)
 
-    return F.udf(run, returns)(F.struct(*[F.col(f"`{n}`") for n in names]))
+    return F.udf(run, kind)(row)
 
 
 def template(df: DataFrame, text: str) -> Column:

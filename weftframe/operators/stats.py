@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import stash
+
 NAMES = ["mean", "median", "min", "max", "variance", "std_dev", "count", "missing"]
 
 
@@ -20,13 +22,29 @@ def numeric(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if isinstance(df.schema[n].dataType, T.NumericType)]
 
 
+def medians(df: DataFrame, names: list[str]) -> DataFrame:
+    """(i, median) of each column, exact. Distinct values with their counts are range-sorted and written; sums of their partitions turn counts into ranks."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{n}`").cast("double").alias("v")) for i, n in enumerate(names)])).alias("r")).select("r.*").where("v is not null")
+    counts = long.groupBy("i", "v").agg(F.count("*").alias("c"))
+    held = stash(counts.orderBy("i", "v").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "values")
+    each = Window.partitionBy("i")  # a row for each partition of the sort
+    starts = held.groupBy("i", "part").agg(F.sum("c").alias("s")).select("i", "part", (F.sum("s").over(each.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(each).alias("n"))
+    high = F.col("before") + F.sum("c").over(Window.partitionBy("i", "part").orderBy("v"))
+    ranked = held.join(starts, ["i", "part"]).withColumn("high", high).withColumn("low", F.col("high") - F.col("c"))
+    at = lambda rank: F.max(F.when((F.col("low") <= rank) & (F.col("high") > rank), F.col("v")))
+    return ranked.groupBy("i").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def by_field(df: DataFrame, names: list[str], rounded: bool = True) -> DataFrame:
     """name and NAMES, a row for each column; the median is exact."""
     aggs = []
     for i, n in enumerate(names):
         c = F.col(f"`{n}`").cast("double")
-        aggs += [F.avg(c).alias(f"mean{i}"), F.median(c).alias(f"median{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"), F.var_samp(c).alias(f"variance{i}"), F.stddev_samp(c).alias(f"std_dev{i}"), F.count(c).alias(f"count{i}")]
+        aggs += [F.avg(c).alias(f"mean{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"), F.var_samp(c).alias(f"variance{i}"), F.stddev_samp(c).alias(f"std_dev{i}"), F.count(c).alias(f"count{i}")]
     one = df.agg(F.count("*").alias("total"), *aggs).where("total > 0")
+    if names:  # a row for each column
+        found = medians(df, names).agg(F.map_from_entries(F.collect_list(F.struct("i", "median"))).alias("medians"))
+        one = one.crossJoin(found).withColumns({f"median{i}": F.col("medians")[i] for i in range(len(names))})  # one row and one row
     cut = {"mean", "median", "variance", "std_dev"} if rounded else set()
     rows = [
         F.struct(

@@ -64,11 +64,11 @@ def markdown(names: list[str], rows: list[list[Any]], formats: dict[Any, Any] |
     return "\n".join(lines) + "\n"
 
 
-def plain(names: list[str], rows: list[list[Any]], group: list[str] | None, width: int | None = None) -> str:
-    """An ASCII table: numbers to the right, columns of single characters centred, headings in title case."""
+def plain(names: list[str], rows: list[list[Any]], group: list[str] | None, width: int | None = None, title: str = "", caption: str | None = None, show_header: bool = True, show_lines: bool = False) -> str:
+    """An ASCII table: numbers to the right, columns of single characters centred, headings in title case; a title above and a caption below."""
     heads = [n.replace("_", " ").title() for n in names]
     cells = [["" if n in blank else str(v) for n, v in zip(names, row, strict=True)] for row, blank in suppressed(names, rows, group)]
-    wide = [max([len(h), *(len(c[i]) for c in cells)]) for i, h in enumerate(heads)]
+    wide = [max([len(h) if show_header else 0, *(len(c[i]) for c in cells)]) for i, h in enumerate(heads)]
     numbers = [bool(rows) and all(v is None or isinstance(v, RIGHT) for v in (r[i] for r in rows)) for i in range(len(names))]
     single = [all(len(c[i]) <= 1 for c in cells) for i in range(len(names))]
 
@@ -76,7 +76,15 @@ def plain(names: list[str], rows: list[list[Any]], group: list[str] | None, widt
         return s.rjust(wide[i]) if numbers[i] else s.center(wide[i]) if single[i] else s.ljust(wide[i])
 
     bar = "+" + "+".join("-" * (w + 2) for w in wide) + "+"
-    lines = [bar, "| " + " | ".join(h.ljust(wide[i]) for i, h in enumerate(heads)) + " |", bar]
-    lines += ["| " + " | ".join(one(i, s) for i, s in enumerate(c)) + " |" for c in cells]
+    lines = [title.center(len(bar)).rstrip()] if title else []
     lines.append(bar)
+    if show_header:
+        lines += ["| " + " | ".join(h.ljust(wide[i]) for i, h in enumerate(heads)) + " |", bar]
+    for k, c in enumerate(cells):
+        if show_lines and k:
+            lines.append(bar)
+        lines.append("| " + " | ".join(one(i, s) for i, s in enumerate(c)) + " |")
+    lines.append(bar)
+    if caption:
+        lines.append(caption.center(len(bar)).rstrip())
     return "\n".join(x[:width] if width else x for x in lines) + "\n"

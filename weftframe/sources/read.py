@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from ..errors import PathNotFoundError
 from ..functions.convert import Converter
 from ..functions.predicates import value_test
+from ..operators.record import fitted, kind_over
 from ..plans.order import PART, POS
 from .fetch import URL_OPTIONS, fetch_url, kind_of, lines_of, read_text, splittable
 
@@ -66,15 +68,20 @@ def delimited(spark: SparkSession, source: Any, encoding: str = "utf-8", delimit
     """All columns as text, an empty cell as an empty text, a missing one as null. More cells than names raise an error."""
     names = fieldnames.split() if isinstance(fieldnames, str) else list(fieldnames) if fieldnames else None
     if splittable(source) and not set(options) - {"quotechar", "escapechar", "multiline"}:
-        read = spark.read.option("header", names is None).option("sep", delimiter).option("encoding", encoding).option("quote", options.get("quotechar", '"')).option("escape", options.get("escapechar", '"'))
-        # quoted line ends need whole files in a task; without multiline files are split. FAILFAST finds rows that are too long; short ones are rare enough to pad
+        quote = options.get("quotechar", '"')
+        read = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", quote).option("escape", options.get("escapechar", '"'))
+        # quoted line ends need whole files in a task; without multiline files are split
         read = read.option("multiLine", options.get("multiline", True)).option("nullValue", "\u0001none").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        if names:
-            read = read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_wf_more"]]))
-        df = read.option("columnNameOfCorruptRecord", "_wf_bad").csv(str(source))
-        if names:
-            df = df.withColumn(names[0], F.when(F.col("_wf_more").isNull(), F.col(names[0])).otherwise(F.raise_error(F.lit("insufficient/invalid column names in header")))).drop("_wf_more")
-        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+        header = names or read.option("header", True).csv(str(source)).columns
+        # without column pruning, each row of another number of cells than names is kept as it was read
+        read = read.option("header", names is None).option("columnPruning", False).option("columnNameOfCorruptRecord", "_wf_bad")
+        df = read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*header, "_wf_bad"]])).csv(str(source))
+        mark = re.escape(quote)
+        cells = F.regexp_count(F.regexp_replace("_wf_bad", f"{mark}([^{mark}]|{mark}{mark})*{mark}", ""), F.lit(re.escape(delimiter))) + 1
+        wrong = F.raise_error(F.concat(F.lit("insufficient/invalid column names in header: "), F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))))
+        df = df.where(F.when(cells > len(header), wrong.cast("boolean")).otherwise(F.lit(True)))
+        there = lambda i: F.col("_wf_bad").isNull() | (cells > i)
+        return df.select(*[F.when(there(i), F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for i, c in enumerate(header)])
     url = {k: options.pop(k) for k in URL_OPTIONS if k in options}
     zippath = options.pop("zippath", None)
     options.pop("multiline", None)
@@ -175,13 +182,15 @@ def _column(fn: Any, c: Column, default: Any, kind: T.DataType | None) -> Column
             out = None
         if not isinstance(out, Column):
 
+            kind = kind or T.StringType()
+
             def run(v: Any) -> Any:
                 try:
-                    return fn(v)
+                    return fitted(fn(v), kind)
                 except Exception:  # noqa: BLE001
                     return default
 
-            return F.udf(run, kind or T.StringType())(c)
+            return F.udf(run, kind)(c)
     return F.coalesce(out, F.lit(default)) if default is not None else out
 
 
@@ -192,21 +201,19 @@ def shaped(df: DataFrame, transforms: dict[str, Any] | None, filters: dict[str,
     transforms = dict(transforms or {})
     every = transforms.pop("*", None)
     data = [c for c in df.columns if not c.startswith("_wf_")]
-    for name in data:
-        how, wild = (transforms[name], False) if name in transforms else (every, True)
-        if how is None:
-            continue
-        fn, default = how if isinstance(how, tuple) else (how, None)
-        kind = _kind_of(df, name, fn) if callable(fn) and not isinstance(fn, (type, Converter)) else None
-        made = _column(fn, F.col(f"`{name}`"), default, kind)
-        if wild and not isinstance(how, tuple):
-            whole = df.select(F.bool_and(made.isNotNull() | F.col(f"`{name}`").isNull())).first()[0]
-            if whole is False:
-                continue
-        df = df.withColumn(name, made)
-    for name, how in transforms.items():
-        if name not in data and not callable(how):
-            df = df.withColumn(name, F.lit(how))
+    how = {n: transforms.get(n, every) for n in data if n in transforms or every is not None}
+    parts = {n: h if isinstance(h, tuple) else (h, None) for n, h in how.items()}
+    kinds = _kinds_of(df, {n: fn for n, (fn, _) in parts.items() if callable(fn) and not isinstance(fn, (type, Converter))})
+    made = {n: _column(fn, F.col(f"`{n}`"), default, kinds.get(n)) for n, (fn, default) in parts.items()}
+    wild = [n for n in made if n not in transforms and not isinstance(every, tuple)]
+    if wild:  # one pass for all columns
+        whole = df.agg(*[F.bool_and(made[n].isNotNull() | F.col(f"`{n}`").isNull()).alias(f"w{i}") for i, n in enumerate(wild)]).first()
+        made = {n: c for n, c in made.items() if n not in wild or whole[wild.index(n)] is not False}
+    if made:
+        df = df.withColumns(made)
+    for name, fn in transforms.items():
+        if name not in data and not callable(fn):
+            df = df.withColumn(name, F.lit(fn))
     for name, test in (filters or {}).items():
         df = df.where(value_test(test, F.col(f"`{name}`")))
     if limit is not None:
@@ -215,15 +222,15 @@ def shaped(df: DataFrame, transforms: dict[str, Any] | None, filters: dict[str,
     return df
 
 
-def _kind_of(df: DataFrame, name: str, fn: Callable[[Any], Any]) -> T.DataType:
-    for row in df.select(F.col(f"`{name}`")).limit(20).collect():
+def _kinds_of(df: DataFrame, functions: dict[str, Callable[[Any], Any]]) -> dict[str, T.DataType]:
+    """The type of each Python function's results over its whole column."""
+    native = {}
+    for n, fn in functions.items():
         try:
-            value = fn(row[0])
-        except Exception:  # its default will do  # noqa: BLE001, S112
-            continue
-        if value is not None and not isinstance(value, Column):
-            return T._infer_type(value, prefer_timestamp_ntz=True)
-    return T.StringType()
+            native[n] = isinstance(fn(F.col(f"`{n}`")), Column)
+        except Exception:  # it needs real values  # noqa: BLE001
+            native[n] = False
+    return {n: kind_over(df, fn, F.col(f"`{n}`"), "default") for n, fn in functions.items() if not native[n]}
 
 
 __all__ = ["FixedWidthReader", "delimited", "excel_rows", "fetch_url", "frame_of", "json_rows", "shaped"]

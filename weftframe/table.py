@@ -407,10 +407,12 @@ class Table:
             wanted = self.spark.createDataFrame([tuple(read._plain(d.get(n)) for n in names) for d in dicts], data)
         counts = wanted.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count("*").alias("_wf_gone")).select(*[F.col(f"`{n}`").alias(f"_wf_x{i}") for i, n in enumerate(names)], "_wf_gone")
         df, keys = self._ordered()
+        df = order.positioned(df)
+        joined = df.join(counts, [F.col(f"`{n}`").eqNullSafe(F.col(f"_wf_x{i}")) for i, n in enumerate(names)], "left").drop(*[f"_wf_x{i}" for i in range(len(names))])
+        # only rows that equal a wanted one are numbered
         nth = F.row_number().over(order.Window.partitionBy(*[F.col(f"`{n}`") for n in names]).orderBy(*order.columns(keys)))
-        joined = df.withColumn("_wf_nth", nth).join(counts, [F.col(f"`{n}`").eqNullSafe(F.col(f"_wf_x{i}")) for i, n in enumerate(names)], "left")
-        kept = joined.where(F.col("_wf_nth") > F.coalesce("_wf_gone", F.lit(0))).drop("_wf_nth", "_wf_gone", *[f"_wf_x{i}" for i in range(len(names))])
-        self._set(kept, keys)
+        equal = joined.where("_wf_gone is not null").withColumn("_wf_nth", nth).where("_wf_nth > _wf_gone").drop("_wf_nth")
+        self._set(joined.where("_wf_gone is null").union(equal).drop("_wf_gone"), keys)
         return self
 
     def delete(self, wherefn: Any = None, **kwargs: Any) -> int:
@@ -496,9 +498,18 @@ class Table:
     # rows and columns
 
     def _predicate(self, wherefn: Any, kwargs: dict[str, Any]) -> Column:
-        test = F.lit(True)
+        test, names = F.lit(True), self.columns
         for name, value in kwargs.items():
-            test = test & predicates.value_test(value, F.col(f"`{name}`") if name in self.columns else F.lit(None))
+            if name in names:
+                test = test & predicates.value_test(value, F.col(f"`{name}`"))
+            elif not callable(value):
+                test = F.lit(False)
+            elif isinstance(value, predicates.Predicate) and value.name not in ("is_null()", "is_not_null()"):
+                if names:
+                    raise AttributeError(f"no field {name!r}")
+                test = F.lit(False)
+            else:
+                test = test & predicates.value_test(value, F.lit(None))
         if isinstance(wherefn, Column):
             test = test & wherefn
         elif wherefn is not None:
@@ -506,7 +517,10 @@ class Table:
         return test
 
     def where(self, wherefn: Any = None, **kwargs: Any) -> Table:
-        """Rows for which all conditions hold: field=value, field=comparator, field=function, and a function of the row."""
+        """Rows for which all conditions hold: field=value, field=comparator, field=function, and a function of the row.
+
+        A comparator over a field that the table lacks raises AttributeError, but for is_null and is_not_null; no row equals a value there.
+        """
         return self._derived(self.df.where(self._predicate(wherefn, kwargs)))
 
     def select(self, fields: str | Iterable[str] | None = None, **exprs: Any) -> Table:
@@ -771,13 +785,11 @@ class Table:
         stop = search.stopwords_of(stopwords)
         df, keys = self._ordered()
         self._df, self._order = df, self._order or keys
-        self._searches[attr] = (self._version, stop, search.indexed(df, attr, stop).cache())
+        self._searches[attr] = (self._version, stop, order.stash(search.indexed(df, attr, stop), "words"))
         return self
 
     def delete_search_index(self, attr: str) -> Table:
-        found = self._searches.pop(attr, None)
-        if found:
-            found[2].unpersist()
+        self._searches.pop(attr, None)
         return self
 
     def rebuild_search_index(self, attr: str, force: bool = True) -> Table:
@@ -866,8 +878,10 @@ class Table:
     def as_markdown(self, fields: Any = "*", formats: Any = None, groupby: Any = None) -> str:
         return render.markdown(*self._cells(fields), formats, _group(groupby))
 
-    def present(self, fields: Any = None, file: Any = None, groupby: Any = None, width: int | None = None, **kwargs: Any) -> None:
-        (file or sys.stdout).write(render.plain(*self._cells(fields), _group(groupby), width))
+    def present(self, fields: Any = None, file: Any = None, groupby: Any = None, width: int | None = None, title: str | None = None, caption: str | None = None, show_header: bool = True, show_lines: bool = False) -> None:
+        """Prints the table, by default under its name."""
+        text = render.plain(*self._cells(fields), _group(groupby), width, self.table_name if title is None else title, caption, show_header, show_lines)
+        (file or sys.stdout).write(text)
 
 
 def _group(groupby: Any) -> list[str] | None:
