@@ -1,39 +1,16 @@
-"""Shared folder, scratch tables and schema helpers for the corpus operators."""
+"""Scratch tables, schema helpers and graph components for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import scratch_path, stash
+
 #: Stands for a null doc_id inside an operator; sorts before every real id.
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='weftframe-')}"
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -103,3 +80,6 @@ def classes(reps: DataFrame, found: DataFrame, *carried: str) -> DataFrame:
     each = each.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("n", F.lit(0)) + F.col("copies") - 1}).where("links > 0")
     first = each.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
     return each.join(first, "root").select("node", F.col("first.id").alias("class_id"), F.col("first.node").alias("class_node"), "links", *carried)
+
+
+__all__ = ["NO_ID", "classes", "components", "free", "id_column", "real_id", "row_key", "scratch_path", "stash"]
