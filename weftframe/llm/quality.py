@@ -3,8 +3,9 @@
 A document's features are the presence of hashed words and of the first bytes of longer words, of its language and its source (hashed as well), and statistics of its bytes. The score
 is w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j; the pairwise sum is computed in linear time as half of
 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2). There are two machines, for quality and for toxicity. They are fitted on a bounded sample of
-labelled rows (`max_train`); of the hashed words those stay that the sample ties to a label most (`max_words`). Scoring is one pass
-over the texts without a shuffle; what travels with it is as large as the model, whatever the corpus.
+labelled rows (`max_train`). All its features take part: those of language and source always, and of the hashed words those for which the loss falls faster than a
+penalty on their weight rises (`penalty` / sqrt(rows)); others would get no weight, and whether they should is asked again of all of them after each
+fit. Scoring is one pass over the texts without a shuffle; what travels with it is as large as the model, whatever the corpus.
 
 Defined results: a null, empty or blank text has null scores and is not kept. Where the labels hold one class only, or none, that
 score is null and doesn't decide. Labels without a document, and null labels, don't take part. A null lang or source has no feature. Rows that share
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-BITS = 24
+BITS = 22
 HEADS = ("quality", "toxic")
 STATS = 9
 STEM = 5
@@ -80,7 +81,7 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Feature + 1 of each bucket, 0 for none."""
-        out = np.zeros(1 << BITS, np.int16)
+        out = np.zeros(1 << BITS, np.int32)
         out[self.buckets] = np.arange(1, len(self.buckets) + 1)
         return out
 
@@ -100,7 +101,7 @@ class Model:
         return total
 
 
-def train(x: np.ndarray, y: np.ndarray, rank: int, rounds: int = 250, rate: float = 0.05, decay: float = 2e-3) -> Machine:
+def train(x: np.ndarray, y: np.ndarray, rank: int, rounds: int = 150, rate: float = 0.05, decay: float = 2e-3) -> Machine:
     """Logistic loss, both classes weighing the same; Adam over all rows, with the words' weights shrunk towards 0."""
     rng = np.random.default_rng(5)
     n, d = x.shape
@@ -123,21 +124,27 @@ def train(x: np.ndarray, y: np.ndarray, rank: int, rounds: int = 250, rate: floa
     return Machine(float(params[0][0]), params[1], params[2])
 
 
-def chosen(row: np.ndarray, hashed: np.ndarray, labels: list[np.ndarray], least: int, most: int) -> np.ndarray:
-    """Buckets in `least` rows or more whose presence is tied to a label most, by z-score; ascending."""
-    uniq, inverse, df = np.unique(hashed, return_inverse=True, return_counts=True)
-    best = np.zeros(len(uniq))
-    for y in labels:
-        known = y >= 0
-        if not known.any():
-            continue
-        p = y[known].mean()
-        seen = np.bincount(inverse, known[row], len(uniq))
-        hits = np.bincount(inverse, known[row] * (y[row] > 0), len(uniq))
-        best = np.maximum(best, np.abs(hits - p * seen) / np.sqrt(np.maximum(p * (1 - p) * seen, 0.25)))
-    best[df < least] = 0
-    order = np.lexsort((uniq, -best))[:most]
-    return np.sort(uniq[order[best[order] > 5]])
+def fitted(row: np.ndarray, feature: np.ndarray, size: int, always: np.ndarray, stats: np.ndarray, y: np.ndarray, rank: int, penalty: float) -> tuple[np.ndarray, Machine]:
+    """The features that get a weight, ascending, and the machine over the statistics and them. row and feature (of `size`) list what is present; y is 0 or 1."""
+    n = len(y)
+    sign, share = np.where(y > 0, 1.0, -1.0), np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    active, z = always, np.zeros(n)
+    for _ in range(4):
+        gradient = np.bincount(feature, (share / (1 + np.exp(np.clip(sign * z, -30, 30))) * sign)[row], size)
+        more = np.union1d(active, np.flatnonzero(np.abs(gradient) > penalty / np.sqrt(n)))
+        if len(more) == len(active) and z.any():
+            break
+        active = more
+        place = np.full(size, -1)
+        place[active] = np.arange(len(active))
+        own = place[feature]
+        x = np.zeros((n, STATS + len(active)), np.float32)
+        x[:, :STATS] = stats
+        x[row[own >= 0], STATS + own[own >= 0]] = 1
+        machine = train(x, y, rank)
+        s = x @ machine.factors
+        z = machine.bias + x @ machine.linear + 0.5 * (s * s - (x * x) @ (machine.factors**2)).sum(1)
+    return active, machine
 
 
 def _columns(docs: DataFrame) -> list:
@@ -158,47 +165,58 @@ def _meta(part: pa.RecordBatch, cache: dict[str, int]) -> tuple[np.ndarray, np.n
     return np.array(row, np.int64), np.array(hashed, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_words: int = 1000, min_rows: int = 8, rank: int = 4) -> Model | None:
-    """A model from about max_train labelled documents at most, picked by a hash of their ids."""
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, rank: int = 4, penalty: float = 0.46) -> Model | None:
+    """A model from max_train labelled documents at most, picked by a hash of their ids, then of their rows."""
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int")).distinct()
     total = known.count()
     if not total:
         return None
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < min(1.0, max_train / total) * float(1 << 30)
-    # at most about max_train short rows: small enough to broadcast, whatever the size of the tables
-    rows = docs.select(*_columns(docs)).join(F.broadcast(known.where(part)), "doc_id").where("text is not null")
+    # about max_train short rows: small enough to broadcast, whatever the size of the tables
+    rows = docs.select(*_columns(docs), F.xxhash64("doc_id", "text").alias("key")).join(F.broadcast(known.where(part)), "doc_id").where("text is not null")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
             for piece, data, off in _text.pieces(batch, most=1 << 20):
                 row, hashed, stats, words = extract(data, off)
-                more = _meta(piece, cache)
-                row, hashed = np.append(row, more[0]), np.append(hashed, more[1])
-                order = np.lexsort((hashed, row))
-                ends = np.searchsorted(row[order], np.arange(len(off)))
-                hashed = hashed[order].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(piece.schema.get_field_index("quality")), piece.column(piece.schema.get_field_index("toxic")), pa.array([s.tobytes() for s in stats], pa.binary()), pa.array([hashed[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())],
-                    ["doc_id", "quality", "toxic", "stats", "words"],
-                ).filter(pa.array(words > 0))
-
-    found = rows.mapInArrow(featured, "doc_id bigint, quality int, toxic int, stats binary, words binary").toArrow()
+                lists = [(row, hashed), _meta(piece, cache)]
+                packed = []
+                for r, h in lists:
+                    order = np.lexsort((h, r))
+                    ends = np.searchsorted(r[order], np.arange(len(off)))
+                    h = h[order].astype(np.int32)
+                    packed.append(pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()))
+                own = [piece.column(piece.schema.get_field_index(c)) for c in ("key", "doc_id", "quality", "toxic")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in stats], pa.binary()), *packed], ["key", "doc_id", "quality", "toxic", "stats", "words", "meta"]).filter(pa.array(words > 0))
+
+    found = rows.mapInArrow(featured, "key bigint, doc_id bigint, quality int, toxic int, stats binary, words binary, meta binary")
+    found = found.orderBy("key", "doc_id", "quality", "toxic", "words").limit(max_train).toArrow()
     if not len(found):
         return None
-    found = found.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending"), ("words", "ascending")])
     stats = np.stack([np.frombuffer(v, np.float32) for v in found["stats"].to_pylist()])
-    lists = [np.frombuffer(v, np.int32) for v in found["words"].to_pylist()]
-    row, hashed = np.repeat(np.arange(len(lists)), [len(v) for v in lists]), np.concatenate(lists).astype(np.int64)
-    targets = {h: np.array([-1 if v is None else int(v > 0) for v in found[h].to_pylist()]) for h in HEADS}
-    model = Model(chosen(row, hashed, list(targets.values()), min_rows, max_words), stats.mean(0), stats.std(0) + 1e-4, {})
-    feature = model.table()[hashed].astype(np.int64) - 1
-    x = np.zeros((len(lists), STATS + len(model.buckets)), np.float32)
-    x[:, :STATS] = model.standard(stats)
-    x[row[feature >= 0], STATS + feature[feature >= 0]] = 1
-    for h, y in targets.items():
+    lists = [[np.frombuffer(v, np.int32) for v in found[c].to_pylist()] for c in ("words", "meta")]
+    row = np.concatenate([np.repeat(np.arange(len(v)), [len(w) for w in v]) for v in lists])
+    uniq, feature = np.unique(np.concatenate([w for v in lists for w in v]).astype(np.int64), return_inverse=True)
+    row, feature = np.unique(np.stack([row, feature]), axis=1) if len(row) else (row, feature)
+    always = np.unique(np.searchsorted(uniq, np.concatenate(lists[1]).astype(np.int64)))
+    model = Model(uniq, stats.mean(0), stats.std(0) + 1e-4, {})
+    machines = {}
+    for h in HEADS:
+        y = np.array([-1 if v is None else int(v > 0) for v in found[h].to_pylist()])
         if (y == 0).any() and (y == 1).any():
-            model.heads[h] = train(x[y >= 0], y[y >= 0], rank)
+            there = y >= 0
+            place = np.cumsum(there) - 1
+            mine = there[row]
+            machines[h] = fitted(place[row[mine]], feature[mine], len(uniq), always, model.standard(stats)[there], y[there], rank, penalty)
+    used = np.unique(np.concatenate([a for a, _ in machines.values()])) if machines else np.zeros(0, np.int64)
+    model.buckets = uniq[used]
+    for h, (active, m) in machines.items():  # both over the same features
+        at = STATS + np.searchsorted(used, active)
+        linear, factors = np.zeros(STATS + len(used), np.float32), np.zeros((STATS + len(used), rank), np.float32)
+        linear[:STATS], factors[:STATS] = m.linear[:STATS], m.factors[:STATS]
+        linear[at], factors[at] = m.linear[STATS:], m.factors[STATS:]
+        model.heads[h] = Machine(m.bias, linear, factors)
     return model
 
 
