@@ -14,7 +14,7 @@ from weftframe.llm import _shared, decontaminate, jaccard, language_id, packing,
 def clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier finds ambiguous.
 
-    A text that is null, empty or without letters can't be judged and goes; so does one as unlike all languages, or as much between two, as fewer than 1 %
+    A text that is null, empty or without letters can't be judged and goes; so does one as unlike all languages, or as much between two, as fewer than 0.5 %
     of the labelled texts of its length. A null doc_id doesn't matter, a null lang only takes no part in fitting, and repeated rows are judged alike.
     Where no row has a label, nothing can be judged and all rows stay.
     """
