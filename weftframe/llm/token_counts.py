@@ -21,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
+
 MARK = "▁"
 UNSEEN = -30.0
+SLICE = 4 << 20  # bytes of text whose new words are walked together
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -78,8 +81,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], most_words: int = 1_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _, _ in _text.pieces(batch, most=SLICE):
                 words = [(t or "").split() for t in part.column(1).to_pylist()]
                 if len(trie.counts) > most_words:
                     trie.counts = {}
