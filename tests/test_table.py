@@ -425,3 +425,12 @@ def test_scratch_tables_can_be_cleared(spark):
 
     scratch.stash(spark.range(5), "some")
     assert scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+
+
+def test_dense_grids_have_a_bound(spark):
+    from weftframe.plans import scratch
+
+    sets = [spark.range(100).toDF("a"), spark.range(100).toDF("b")]
+    assert scratch.product(sets).count() == 10_000
+    with pytest.raises(ValueError, match="10000 cells"):
+        scratch.product(sets, most=9_999)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.order import PART, POS, Key, positioned, visible
+from ..plans.scratch import product
 
 if TYPE_CHECKING:
     from ..table import Table
@@ -75,11 +76,8 @@ def join_frames(left: Table, right: Table, keys: list[tuple[str, str]], wanted:
     elif len(on) == 1 or not grid:
         out = not_null(l, 0).join(not_null(r, 1), condition, "full")
     else:
-        universe = None
-        for i, (a, b) in enumerate(on):
-            values = l.select(F.col(f"`{a}`").alias(f"_wf_g{i}")).union(r.select(F.col(f"`{b}`"))).where(f"_wf_g{i} is not null").distinct()
-            universe = values if universe is None else universe.crossJoin(values)
-        out = universe.join(l, [F.col(f"_wf_g{i}") == F.col(f"`{a}`") for i, (a, _) in enumerate(on)], "left")
+        values = lambda i, a, b: l.select(F.col(f"`{a}`").alias(f"_wf_g{i}")).union(r.select(F.col(f"`{b}`"))).where(f"_wf_g{i} is not null").distinct()
+        out = product([values(i, a, b) for i, (a, b) in enumerate(on)]).join(l, [F.col(f"_wf_g{i}") == F.col(f"`{a}`") for i, (a, _) in enumerate(on)], "left")
         out = out.join(r, [F.col(f"_wf_g{i}") == F.col(f"`{b}`") for i, (_, b) in enumerate(on)], "left")
         for i, (a, b) in enumerate(on):
             out = out.withColumns({a: F.col(f"_wf_g{i}"), b: F.col(f"_wf_g{i}")})

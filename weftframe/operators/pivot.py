@@ -9,6 +9,7 @@ from typing import TYPE_CHECKING, Any, TextIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import product
 from .grouping import aggregate, summarized
 
 if TYPE_CHECKING:
@@ -26,9 +27,7 @@ class Pivot:
 
     def grid(self) -> DataFrame:
         values = lambda *f: self.table.df.where(" and ".join(f"`{x}` is not null" for x in f)).select(*[F.col(f"`{x}`") for x in f]).distinct()
-        out = values(self.fields[0])
-        if len(self.fields) > 1:
-            out = out.crossJoin(values(self.fields[1]))
+        out = product([values(f) for f in self.fields[:2]])
         if len(self.fields) > 2:
             out = out.join(values(self.fields[0], self.fields[2]), self.fields[0])
         return out

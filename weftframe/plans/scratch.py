@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -35,6 +36,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def product(sets: list[DataFrame], most: float = 1e9) -> DataFrame:
+    """The cross join of sets of distinct values, for dense grids; an error where it would have more than `most` rows."""
+    size = math.prod(values.count() for values in sets) if len(sets) > 1 else 0
+    if size > most:
+        raise ValueError(f"a dense grid of {size} cells; ask for existing combinations instead")
+    out = sets[0]
+    for values in sets[1:]:
+        out = out.crossJoin(values)
+    return out
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that this process wrote; frames that read them can't be used any more. How many there were."""
     jvm = spark.sparkContext._jvm

@@ -12,6 +12,7 @@ import lzma
 import re
 import tarfile
 import threading
+import warnings
 import zipfile
 from collections import Counter
 from collections.abc import Callable
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import streaming
+from .errors import AuthenticationWarning
+from .functions.words import plain_word
 from .operators.fields import attrgetter
 from .plans.scratch import scratch_path
 from .sources.read import FixedWidthReader
@@ -510,6 +513,20 @@ def import_from_the_web(spark, d):
     return t.frame
 
 
+@query("SELECT 'AuthenticationWarning' AS warning, 'URLError' AS error")
+def credentials_over_plain_http(spark, d):
+    """A warning comes before the request, which nothing answers here."""
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        try:
+            Table(spark=spark).csv_import("http://127.0.0.1:9/none.csv", username="u", password="p", timeout=2)
+            error = "none"
+        except OSError as e:
+            error = type(e).__name__
+    names = [w.category.__name__ for w in said if w.category is AuthenticationWarning]
+    return spark.createDataFrame([(" ".join(names), error)], "warning string, error string")
+
+
 @query(_CUSTOMER)
 def fixed_width(spark, d):
     path = scratch_path(spark, "fixed")
@@ -899,6 +916,15 @@ def tokenizer(spark, d):
     return t.frame.join(have, "word", "left").select("word", F.coalesce("forms", F.lit("")).alias("forms"))
 
 
+_WORDS = [("Hello, world", "hello"), ("U.S.A. today", "usa"), ("...", ""), ("re-entry!", "re-entry"), ("(snake_case)", "snake_case"), ("", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in _WORDS) + ") v(text, word)")
+def word_normaliser(spark, d):
+    """The first word of a text."""
+    return spark.createDataFrame([(t, plain_word(t)) for t, _ in _WORDS], "text string, word string")
+
+
 _NAMES = "SELECT p_partkey, string_split(p_name, ' ') AS w FROM part"
 
 
