@@ -227,6 +227,14 @@ def test_shares_of_a_corpus_add_up(spark):
     assert often.sum() >= 1000 and len(vocab.share) >= 2 * counts.count()
 
 
+def test_ties_in_the_vocabulary_go_to_smaller_hashes(spark):
+    words = ["ash", "birch", "cedar", "elm", "fir"]
+    counts = language_model.counted(corpus(spark, [(i, w) for i, w in enumerate(words)] + [(9, "oak oak")]))
+    vocab, _ = language_model.vocabulary(counts, 3, 2, 2, 22)
+    signed = lambda w: int(np.uint64(_text.hash_word(w)).astype(np.int64))
+    assert vocab.words.view(np.int64).tolist() == [signed("oak"), *sorted(map(signed, words))[:2]]
+
+
 def test_one_training_step_equals_plain_loops():
     vocab = small_vocabulary()
     net = language_model.Net(vocab, bits=3)

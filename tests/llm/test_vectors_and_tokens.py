@@ -115,6 +115,7 @@ def test_trie_equals_plain_viterbi(spark):
     trie.insert(set(words[:200]))
     trie.insert(set(words[200:]) - set(words[:200]))
     assert trie.counts == {w: viterbi(w, PIECES) for w in words}
+    assert len(trie.score) == len({(token_counts.MARK + w)[:n] for w in words for n in range(len(w) + 2)})  # a node for each prefix
 
 
 def test_counts_of_odd_rows(spark):

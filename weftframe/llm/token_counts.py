@@ -1,9 +1,9 @@
 """Token counts under a unigram tokenizer, by dynamic programming over a trie of pre-tokens.
 
-A text's pre-tokens are its white-space separated words, each with the word mark before it. The distinct pre-tokens a task meets form
-a trie; walked depth first (in sorted order), each node's best score - the best sum of piece scores over all ways to cut the prefix
-it stands for - is computed once for all pre-tokens that share the prefix, and a pre-token's end stores its token count. Counting a
-text is then one look-up a word. Nothing is shuffled; a task's trie is emptied at `most_words` pre-tokens, which changes no result.
+A text's pre-tokens are its white-space separated words, each with the word mark before it. The distinct pre-tokens a task meets are inserted in a
+trie; each node's best score - the best sum of piece scores over all ways to cut the prefix it stands for - is computed once for all pre-tokens that
+share the prefix, and the node where a pre-token ends stores its token count. Counting a text is then one look-up a word. Nothing is shuffled; a task's trie
+is emptied beyond `most_words` pre-tokens, which changes no result.
 
 The public vocabularies are BPE and hold ranks, not probabilities: a piece's score is that of Zipf's law, -log(rank + 2). A character
 that no piece covers costs one token a byte. Of equal scores the cut with fewer tokens counts.
@@ -38,43 +38,54 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Token counts of pre-tokens; each walk computes the scores along new branches only."""
+    """Distinct pre-tokens. A node stands for a prefix and holds the best score over all cuts of it and the number of tokens of that cut; each is computed once,
+    when the first pre-token with that prefix comes. counts holds those of the nodes where pre-tokens end.
+    """
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.tails = {p[i:] for p in pieces for i in range(len(p))}
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # by node and character
+        self.score, self.tokens = [0.0], [0]
         self.counts: dict[str, int] = {}
 
     def insert(self, words: Iterable[str]) -> None:
-        pieces, tails, counts = self.pieces, self.tails, self.counts
-        best, tokens = [0.0], [0]  # along the path from the root
-        last = ""
-        for word in sorted(words):
+        pieces, tails, child, score, tokens = self.pieces, self.tails, self.child, self.score, self.tokens
+        path, last = [0], ""
+        for word in sorted(words):  # so that a path begins where the last one is left
             full = MARK + word
             shared = 0
             for a, b in zip(last, full, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
+            del path[shared + 1 :]
             for end in range(shared + 1, len(full) + 1):
-                width = len(full[end - 1].encode("utf-8", "surrogatepass"))
-                score, count = best[end - 1] + UNSEEN * width, tokens[end - 1] + width
-                at = end - 1
-                while at >= 0 and (tail := full[at:end]) in tails:
-                    own = pieces.get(tail)
-                    if own is not None:
-                        s, c = best[at] + own, tokens[at] + 1
-                        if s > score or (s == score and c < count):
-                            score, count = s, c
-                    at -= 1
-                best.append(score)
-                tokens.append(count)
-            counts[word] = tokens[-1]
+                key = path[-1] << 21 | ord(full[end - 1])
+                node = child.get(key)
+                if node is None:
+                    width = len(full[end - 1].encode("utf-8", "surrogatepass"))
+                    best, count = score[path[-1]] + UNSEEN * width, tokens[path[-1]] + width
+                    at = end - 1
+                    while at >= 0 and (tail := full[at:end]) in tails:
+                        own = pieces.get(tail)
+                        if own is not None:
+                            s, c = score[path[at]] + own, tokens[path[at]] + 1
+                            if s > best or (s == best and c < count):
+                                best, count = s, c
+                        at -= 1
+                    node = child[key] = len(score)
+                    score.append(best)
+                    tokens.append(count)
+                path.append(node)
+            self.counts[word] = tokens[path[-1]]
             last = full
 
 
-def count_tokens(docs: DataFrame, pieces: dict[str, float], most_words: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: dict[str, float], most_words: int = 300_000) -> DataFrame:
     """doc_id, n_words, n_tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary, whatever the corpus
 
@@ -84,7 +95,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], most_words: int = 1_
             for part, _, _ in _text.pieces(batch, most=SLICE):
                 words = [(t or "").split() for t in part.column(1).to_pylist()]
                 if len(trie.counts) > most_words:
-                    trie.counts = {}
+                    trie.clear()
                 trie.insert({w for ws in words for w in ws} - trie.counts.keys())
                 get = trie.counts.__getitem__
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(ws) for ws in words], pa.int64()), pa.array([sum(map(get, ws)) for ws in words], pa.int64())], ["doc_id", "n_words", "n_tokens"])
