@@ -434,3 +434,18 @@ def test_dense_grids_have_a_bound(spark):
     assert scratch.product(sets).count() == 10_000
     with pytest.raises(ValueError, match="10000 cells"):
         scratch.product(sets, most=9_999)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from weftframe.plans import scratch
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(session(master))
+        assert scratch.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"

@@ -742,6 +742,28 @@ def values_aggregates(spark, d):
     return spark.createDataFrame([(sum(t.all.p_size), min(t.all.p_size), max(t.all.p_size), len(Counter(t.all.p_type)), len(t))], "total bigint, low int, high int, kinds bigint, n bigint")
 
 
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'sum', CAST(sum(o_custkey) AS BIGINT) FROM orders UNION ALL SELECT 'range', max(o_custkey) - min(o_custkey) FROM orders UNION ALL SELECT 'distinct', count(DISTINCT o_custkey) FROM orders")
+def values_in_tasks(spark, d):
+    """The same without bringing values to the driver."""
+    t = table(spark, d, "orders")
+    keys = t.all.o_custkey
+    rest = [("sum", keys.sum()), ("range", keys.max() - keys.min()), ("distinct", keys.unique.count())]
+    return t.all.o_orderpriority.counts().union(spark.createDataFrame(rest, "value string, n bigint"))
+
+
+class _Nation:
+    def __init__(self, n_nationkey: int, n_name: str, n_regionkey: int):
+        self.label, self.region = f"{n_name}/{n_nationkey}", n_regionkey
+
+
+@query("SELECT n_name || '/' || n_nationkey AS label, n_regionkey AS region FROM nation")
+def import_row_class(spark, d):
+    """Rows as objects of a class of the caller's."""
+    text = table(spark, d, "nation").csv_export()
+    t = Table(spark=spark).csv_import(text, transforms=_NATION_TYPES, row_class=_Nation)
+    return spark.createDataFrame([(r.label, r.region) for r in t.orderby("n_nationkey")], "label string, region int")
+
+
 @query("SELECT n_name AS name, n_regionkey AS region, -1 AS missing FROM nation")
 def namedtuples(spark, d):
     t = table(spark, d, "nation").select("n_name n_regionkey").orderby("n_name")

@@ -70,6 +70,33 @@ class Values:
     def __iter__(self) -> Iterator[Any]:
         return (r[0] for r in write.rows_of(self.frame()))
 
+    def _one(self, aggregate: Callable[[Column], Column]) -> Any:
+        """What the tasks find, where the built-in functions would bring all values to the driver."""
+        if self.name not in self.table.columns:
+            return None
+        values = self.table.df.select(F.col(f"`{self.name}`").alias("v"))
+        return (values.distinct() if self.distinct else values).agg(aggregate(F.col("v"))).first()[0]
+
+    def sum(self) -> Any:
+        return self._one(F.sum)
+
+    def min(self) -> Any:
+        return self._one(F.min)
+
+    def max(self) -> Any:
+        return self._one(F.max)
+
+    def mean(self) -> Any:
+        return self._one(F.avg)
+
+    def count(self) -> int:
+        """How many there are; nulls don't count."""
+        return self._one(F.count) or 0
+
+    def counts(self) -> DataFrame:
+        """value and n: how often each value occurs."""
+        return self.table.df.groupBy(F.col(f"`{self.name}`").alias("value")).agg(F.count("*").alias("n"))
+
 
 class Accessor:
     """table.all, table.by and table.search: fields as attributes, or by call for other names."""
@@ -181,6 +208,7 @@ class Table:
         self._indexes: dict[str, IndexSpec] = {}
         self._searches: dict[str, tuple[int, frozenset[str], DataFrame]] = {}
         self._version = 0
+        self._row_class: Callable[..., Any] | None = None
         self.create_time = self.modify_time = dt.datetime.now()
         self.import_time: dt.datetime | None = None
         self.import_source: str | None = None
@@ -236,6 +264,7 @@ class Table:
         out = Table(self.table_name if name is None else name, df, self.spark)
         out._order = self._order if keys is None else keys
         out._parts = self._parts
+        out._row_class = self._row_class if set(self.columns) == set(out.columns) else None
         out._indexes = {k: IndexSpec(v.unique, v.accept_none) for k, v in self._indexes.items() if k in df.columns}
         return out
 
@@ -255,8 +284,15 @@ class Table:
         df, keys = self._ordered()
         return order.numbered(df, keys), len(keys)
 
-    def _first(self) -> Row | None:
-        return self.sorted_frame.first()
+    def _first(self) -> Any:
+        row = self.sorted_frame.first()
+        return row if row is None else self._made(row)
+
+    def _made(self, row: Row) -> Any:
+        """The row as an object of the class that an import was given."""
+        if self._row_class in (None, dict):
+            return row
+        return self._row_class(**{n: v for n, v in row.asDict().items() if not n.startswith("_wf_")})
 
     # sequence protocol
 
@@ -266,12 +302,12 @@ class Table:
     def __bool__(self) -> bool:
         return not self.df.isEmpty()
 
-    def __iter__(self) -> Iterator[Row]:
-        return write.rows_of(self.sorted_frame)
+    def __iter__(self) -> Iterator[Any]:
+        return map(self._made, write.rows_of(self.sorted_frame))
 
-    def __reversed__(self) -> Iterator[Row]:
+    def __reversed__(self) -> Iterator[Any]:
         df, keys = self._ordered()
-        return write.rows_of(df.orderBy(*order.columns([k.flipped() for k in keys])).select(*[F.col(f"`{c}`") for c in self.columns]))
+        return map(self._made, write.rows_of(df.orderBy(*order.columns([k.flipped() for k in keys])).select(*[F.col(f"`{c}`") for c in self.columns])))
 
     def __call__(self, table_name: str) -> Table:
         self.table_name = table_name
@@ -820,8 +856,10 @@ class Table:
 
     # import and export
 
-    def _import(self, df: DataFrame, source: Any, transforms: Any, filters: Any, limit: int | None) -> Table:
+    def _import(self, df: DataFrame, source: Any, transforms: Any, filters: Any, limit: int | None, row_class: Callable[..., Any] | None = None) -> Table:
+        """row_class makes the rows' objects wherever rows come to the driver; it takes the fields by name."""
         df = read.shaped(df, transforms, filters, limit)
+        self._row_class = row_class or self._row_class
         self._append(Table(df=df))
         kind = fetch.kind_of(source)
         self.import_source_type = kind
@@ -830,16 +868,16 @@ class Table:
         return self
 
     def csv_import(self, csv_source: Any, encoding: str = "utf-8", transforms: Any = None, filters: Any = None, row_class: Any = None, limit: int | None = None, fieldnames: Any = None, **kwargs: Any) -> Table:
-        return self._import(read.delimited(self.spark, csv_source, encoding, kwargs.pop("delimiter", ","), fieldnames, **kwargs), csv_source, transforms, filters, limit)
+        return self._import(read.delimited(self.spark, csv_source, encoding, kwargs.pop("delimiter", ","), fieldnames, **kwargs), csv_source, transforms, filters, limit, row_class)
 
     def tsv_import(self, xsv_source: Any, encoding: str = "utf-8", transforms: Any = None, filters: Any = None, row_class: Any = None, limit: int | None = None, fieldnames: Any = None, **kwargs: Any) -> Table:
-        return self._import(read.delimited(self.spark, xsv_source, encoding, "\t", fieldnames, **kwargs), xsv_source, transforms, filters, limit)
+        return self._import(read.delimited(self.spark, xsv_source, encoding, "\t", fieldnames, **kwargs), xsv_source, transforms, filters, limit, row_class)
 
     def json_import(self, source: Any, encoding: str = "utf-8", transforms: Any = None, row_class: Any = None, streaming: bool = False, path: str = "", json_decoder: Any = None, limit: int | None = None, **kwargs: Any) -> Table:
-        return self._import(read.json_rows(self.spark, source, encoding, streaming, path, json_decoder, **kwargs), source, transforms, None, limit)
+        return self._import(read.json_rows(self.spark, source, encoding, streaming, path, json_decoder, **kwargs), source, transforms, None, limit, row_class)
 
     def excel_import(self, excel_source: Any, transforms: Any = None, filters: Any = None, row_class: Any = None, limit: int | None = None, fieldnames: Any = None, sheet: str | None = None) -> Table:
-        return self._import(read.excel_rows(self.spark, excel_source, sheet, fieldnames), excel_source, transforms, filters, limit)
+        return self._import(read.excel_rows(self.spark, excel_source, sheet, fieldnames), excel_source, transforms, filters, limit, row_class)
 
     def parquet_import(self, path: str, filters: Any = None) -> Table:
         return self._import(self.spark.read.parquet(path), path, None, filters, None)
