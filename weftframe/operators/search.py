@@ -56,7 +56,18 @@ def parse(query: str | Iterable[str], stopwords: frozenset[str]) -> Query:
 
 def tokens(stopwords: frozenset[str]):
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(W.words(t, stopwords)) - stopwords) if t is not None else [])
+        known: dict[str, tuple[str, ...]] = {}  # a batch's words repeat
+
+        def of(text: str | None) -> list[str]:
+            found: set[str] = set()
+            for word in set((text or "").split()):
+                forms = known.get(word)
+                if forms is None:
+                    forms = known[word] = tuple(W.word_forms(word, stopwords))
+                found.update(forms)
+            return sorted(found - stopwords)
+
+        return texts.map(of)
 
     return F.pandas_udf(run, T.ArrayType(T.StringType()))
 
