@@ -141,3 +141,16 @@ def test_short_texts_and_ties(spark):
 def test_empty_table(spark):
     assert jaccard.join(corpus(spark, [])).count() == 0
     assert jaccard.drop_copies(corpus(spark, [])).count() == 0
+
+
+def test_no_link_is_lost_between_groups(spark):
+    rng = random.Random(3)
+    data = [(i, prose(i, 40, fresh=True)) for i in range(20)]
+    for g in range(60):  # pairs just at the threshold: one word in eight changed, and half of a text in another
+        base = prose(5000 + g, 96, fresh=True).split()
+        other = [f"z{rng.randrange(10**6)}" if k % 8 == 4 else w for k, w in enumerate(base)]
+        data += [(100 + 4 * g, " ".join(base)), (101 + 4 * g, " ".join(other)), (102 + 4 * g, " ".join(base[:50])), (103 + 4 * g, " ".join(base[46:]))]
+    want = brute(data, 0.5)
+    assert sum(r[2] for r in want) > 200
+    assert rows(jaccard.join(corpus(spark, data), 0.5)) == want
+    assert rows(jaccard.join(corpus(spark, data), 0.37)) == brute(data, 0.37)

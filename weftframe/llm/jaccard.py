@@ -5,18 +5,22 @@ n-gram. Every document is a query; it is linked to all others whose sets have a
 row for each row of the table: the class of linked documents it belongs to, and how many documents it is linked to. Copies count, but pairs are
 never written out, so the result is as long as the table.
 
-1. One pass gives each document a set hash, `bands * rows` minhashes as one-byte sketches, and a key for each band.
-   Documents with equal sets collapse to the smallest id, which stands for all of them from here on.
-2. Similar documents are partitioned into groups: the band keys are range-sorted, and each document is linked to the first document of its key and
-   to its neighbour in sketch order (as many links as documents, however many share a key; a key may go over many partitions). Links whose
-   sketches agree too little are dropped, and the groups are the connected components.
-3. Each group's sets meet in one task (those of a group of more than `block` documents, or `most` bytes, in blocks, each pair of blocks in one
+1. One pass gives each document a set hash. Documents with equal sets collapse to the smallest id, which stands for all of them from here on.
+2. What can't have a link goes. Two sets at the threshold share at least that part of either one, so a document stays only if so many of its n-grams occur in
+   another row. The n-grams travel as four bytes each; hashes that meet count as occurring twice, which only keeps more.
+3. Of those left, each document's n-grams are put in order of how many documents have them. Two sets at the threshold share one of the first
+   size - ceil(threshold * size) + 1 of either one; those of them that occur twice are the document's keys. The keys are range-sorted, and each
+   document meets the first document of its key and the one before it (as many meetings as keys, however many documents share one; a key may go
+   over many partitions). Those that meet as often as similar ones must (`needed`) are put together, and the groups are the connected components.
+4. Each group's sets meet in one task (those of a group of more than `block` documents, or `most` bytes, in blocks, each pair of blocks in one
    task). There they are split further by their smallest hash; a matrix, built and multiplied in slices of WIDTH tokens, holds each
    subgroup's token union. The overlap of a query with a union bounds its similarity to every member, so only subgroups whose bound reaches the
    threshold are opened and compared exactly. What leaves the task is a number of links for each document and one edge at most for each
    document, which tie together what is linked.
 
-Step 3 is exact; step 2 is approximate: a pair of similarity s shares a key with probability 1-(1-s^rows)^bands, 0.986 at 0.5.
+5. Pairs in different groups are those of the keys that lie in more than one. Of them those with as many keys in common as similar ones must have are compared.
+
+All steps are exact but for the equality of 64-bit hashes: groups only decide where a pair is compared.
 
 Defined results: a document is a distinct pair of doc_id and text; rows with one id and different texts are documents of their own, identical rows
 count once and get the same result each. Null, empty or punctuation-only texts, and rows with a null doc_id, have no class and no links. class_id
@@ -28,18 +32,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _shared, _text
 
 U = np.uint64
-SKETCH = "did bigint, th bigint, lo bigint, hi bigint, size int, sketch binary, keys array<bigint>"
+SET = "did bigint, th bigint, lo bigint, hi bigint, size int"
 WIDTH = 4096
+PART = 4 << 20  # n-grams that are counted in one task
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,54 +64,104 @@ def token_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, n
     return grams, np.searchsorted(row, np.arange(len(off)))
 
 
-def minhashes(grams: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
-    """Rows (all with tokens) x count."""
-    rng = np.random.default_rng(77)
-    a, b = rng.integers(0, 2**63, count, dtype=U) * U(2) + U(1), rng.integers(0, 2**63, count, dtype=U)
-    out = np.empty((len(at) - 1, count), U)
-    for i in range(count):
-        x = grams * a[i]
-        x ^= x >> U(29)
-        x *= b[i] | U(1)
-        out[:, i] = np.minimum.reduceat(x, at[:-1])
-    return out
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("did"), _shared.row_key().alias("th"), F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))
 
 
-def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+def set_hashes(docs: DataFrame, n: int) -> DataFrame:
     """One row for each row of docs; lo is null where there is no set."""
-    weights = _text.powers(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in _text.pieces(batch, most=1 << 19):
                 grams, at = token_sets(data, off, n)
                 some = np.diff(at) > 0
-                place = pa.array(np.where(some, np.cumsum(some) - 1, -1), mask=~some)  # of a row among those with a set
-                own = np.append(at[:-1][some], at[-1])
+                lo, hi = np.zeros((2, part.num_rows), U)
                 if some.any():
-                    m = minhashes(grams, own, bands * rows)
-                    keys = _text.mix((_text.mix(m.reshape(-1, bands, rows)) * weights).sum(2) + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15))
-                    sketch = (m >> U(40)).astype(np.uint8)
-                    lo, hi = np.add.reduceat(grams, own[:-1]), np.add.reduceat(_text.mix(grams), own[:-1])
-                else:
-                    keys, sketch, lo, hi = np.zeros((0, bands), U), np.zeros((0, 1), np.uint8), np.zeros(0, U), np.zeros(0, U)
-                found = [
-                    pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(np.diff(own).astype(np.int32)), pa.array([s.tobytes() for s in sketch], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(c.take(place) for c in found)], ["did", "th", "lo", "hi", "size", "sketch", "keys"])
-
-    known = docs.select(F.col("doc_id").cast("bigint").alias("did"), _shared.row_key().alias("th"), F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))
-    return known.mapInArrow(run, SKETCH)
-
-
-@F.pandas_udf(T.DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal bytes of two sketches."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(1))
+                    starts = at[:-1][some]
+                    lo[some], hi[some] = np.add.reduceat(grams, starts), np.add.reduceat(_text.mix(grams), starts)
+                found = [pa.array(lo.view(np.int64), mask=~some), pa.array(hi.view(np.int64), mask=~some), pa.array(np.diff(at).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], ["did", "th", "lo", "hi", "size"])
+
+    return keyed(docs).mapInArrow(run, SET)
+
+
+def promising(docs: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
+    """th of the rows of which `threshold` of the n-grams or more occur in another row. total: n-grams of all rows."""
+    parts = max(12, -(-total // PART))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for rows, data, off in _text.pieces(batch.select(["th", "text"]), most=2 << 20):
+                grams, at = token_sets(data, off, n)
+                place = ((grams >> U(32)) % U(parts)).astype(np.int64)
+                own = np.bincount(place * rows.num_rows + _text.rows_of(at), minlength=parts * rows.num_rows).astype(np.int32).reshape(parts, -1)
+                short = grams[np.argsort(place, kind="stable")].astype(np.uint32)
+                cuts = np.append(0, np.cumsum(own.sum(1)))
+                ths, sizes = rows.column(0).to_numpy().tobytes(), np.diff(at).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array(np.arange(parts, dtype=np.int32)), "piece": pa.array(np.full(parts, piece)), "ths": pa.array([ths] + [b""] * (parts - 1), pa.binary()), "sizes": pa.array([sizes] + [b""] * (parts - 1), pa.binary()),
+                        "own": pa.array([v.tobytes() for v in own], pa.binary()), "grams": pa.array([short[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                    }
+                )
+                piece += 1
+
+    def shared(table: pa.Table) -> pa.Table:
+        flat = np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("grams")])
+        order = np.argsort(flat, kind="stable")
+        same = flat[order[1:]] == flat[order[:-1]]
+        often = np.zeros(len(flat), bool)
+        often[order[1:][same]] = often[order[:-1][same]] = True
+        at, out = 0, []
+        for v in table.column("own"):
+            ends = np.append(0, np.cumsum(np.frombuffer(v.as_buffer(), np.int32), dtype=np.int64))
+            met = np.append(0, np.cumsum(often[at : at + ends[-1]]))[ends]
+            out.append(np.diff(met).astype(np.int32).tobytes())
+            at += ends[-1]
+        return table.select(["piece", "ths", "sizes"]).append_column("shared", pa.array(out, pa.binary()))
+
+    def kept(table: pa.Table) -> pa.Table:
+        met = np.sum([np.frombuffer(v.as_buffer(), np.int32) for v in table.column("shared")], 0)
+        ths, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ths", np.int64), ("sizes", np.int32)))
+        return pa.table({"th": pa.array(ths[(sizes > 0) & (met >= threshold * sizes - 1e-6)])})
+
+    sent = keyed(docs).where("did is not null").mapInArrow(send, "part int, piece bigint, ths binary, sizes binary, own binary, grams binary")
+    met = sent.groupBy("part").applyInArrow(shared, "piece bigint, ths binary, sizes binary, shared binary")
+    return met.groupBy("piece").applyInArrow(kept, "th bigint").distinct()
+
+
+def prefixes(tokens: DataFrame, threshold: float) -> DataFrame:
+    """th, size and keys: the first of each document's tokens, rare ones first, that another document has as well."""
+    each = tokens.select("th", F.size("tokens").alias("size"), F.explode("tokens").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = each.join(often, "key").groupBy("th", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("met"))
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-6)) + 1 - (F.col("size") - F.size("met"))
+    met = met.select("th", "size", F.expr("transform(met, x -> x.key)").alias("keys"), first.cast("int").alias("first")).where("first > 0")
+    return met.select("th", "size", F.slice("keys", F.lit(1), F.col("first")).alias("keys"))
+
+
+def needed(x: Column, y: Column, threshold: float) -> Column:
+    """The least number of keys that sets of x and y tokens at the threshold have in common.
+
+    Beyond the prefix that ends first in the order of tokens, its set has ceil(threshold * size) - 1 tokens; all the others that they share are keys of both.
+    """
+    overlap = F.ceil((x + y) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(x, y) * F.lit(threshold) - F.lit(1e-6)) + 1)
+
+
+def apart(pre: DataFrame, groups: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all similar documents in different groups, a < b."""
+    own = pre.join(groups, F.col("th") == F.col("node"), "left").select("th", "size", F.coalesce("root", "th").alias("root"), F.explode("keys").alias("key"))
+    several = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    own = _shared.stash(own.join(several, "key"), "apart")
+    left, right = own.toDF("key", "a", "sa", "ra"), own.toDF("key", "b", "sb", "rb")
+    met = left.join(right, "key").where("ra != rb and a < b").where(F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold) - F.lit(1e-6))
+    met = met.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n")).where(F.col("n") >= needed(F.col("sa"), F.col("sb"), threshold))
+    both = met.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n"), (F.col("sa") + F.col("sb")).alias("all"))
+    return both.where(F.col("n") / (F.col("all") - F.col("n")) >= threshold).select("a", "b")
 
 
 def compare(sizes: np.ndarray, tokens: list[np.ndarray], least: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -162,10 +215,10 @@ def tied(hit: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.
             return label
 
 
-def neighbours(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of documents that share a key, two for each document and key at most."""
-    rows = reps.select(F.explode("keys").alias("key"), F.substring("sketch", 1, 8).alias("near"), F.col("th").alias("node"))
-    ordered = rows.repartitionByRange("key", "near", "node").sortWithinPartitions("key", "near", "node").select("key", "node")
+def neighbours(reps: DataFrame, counted: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of documents that share a key, two for each document and key at most; all that share one are connected. counted: n, at how many keys they met."""
+    rows = reps.select(F.explode("keys").alias("key"), F.col("th").alias("node"))
+    ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, lead = TaskContext.get().partitionId(), None, None
@@ -181,7 +234,8 @@ def neighbours(reps: DataFrame) -> DataFrame:
             start = np.maximum.accumulate(start)
             leads = np.where(start >= 0, node[start], lead)
             same = key == before_key
-            a, b = np.append(node[same], node[same]), np.append(before[same], leads[same])
+            far = same & (before != leads)
+            a, b = np.append(node[same], node[far]), np.append(before[same], leads[far])
             a, b = np.minimum(a, b), np.maximum(a, b)
             a, b = a[a != b], b[a != b]
             none = pa.nulls(len(a), pa.int64())
@@ -194,39 +248,42 @@ def neighbours(reps: DataFrame) -> DataFrame:
     ends = found.where("b is null")  # two rows a partition
     over = Window.partitionBy("key").orderBy("part")
     ends = ends.select("a", F.lag("a").over(over).alias("other")).where("other is not null and a != other").select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b"))
-    return found.where("b is not null").select("a", "b").union(ends).distinct()
+    found = found.where("b is not null").select("a", "b").union(ends)
+    return found.groupBy("a", "b").agg(F.count("*").alias("n")) if counted else found.distinct()
 
 
-def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, bands: int = 32, rows: int = 3, block: int = 512, most: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512, most: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(did, th, lo, hi) of each row of docs; and (lo, hi, class_id, class_th, links) of each set with links, class_id and class_th being those of the class's first document."""
     docs = docs.select("doc_id", "text")
-    sets = _shared.stash(sketches(docs, n, bands, rows), "sketches")
+    sets = _shared.stash(set_hashes(docs, n), "sets")
     known = sets.where("lo is not null")
     copies = known.select("lo", "hi", "did", "th").distinct().groupBy("lo", "hi").agg(F.count("*").alias("copies"))
-    reps = known.groupBy("lo", "hi").agg(F.min(F.struct("did", "th", "size", "sketch", "keys")).alias("r")).join(copies, ["lo", "hi"]).select("lo", "hi", "copies", "r.*")
+    reps = known.groupBy("lo", "hi").agg(F.min(F.struct("did", "th", "size")).alias("r")).join(copies, ["lo", "hi"]).select("lo", "hi", "copies", "r.*")
     reps = _shared.stash(reps, "representatives")
 
-    sketch = reps.select(F.col("th").alias("node"), "sketch")
-    links = neighbours(reps).join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(agreement("sa", "sb") >= threshold * 0.6).select("a", "b")
-    groups = _shared.components(links)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    left = reps.join(promising(docs, n, threshold, total), "th").select("did", "th")
+    tokens = _shared.stash(_grams(docs, left, n), "tokens")
+    pre = _shared.stash(prefixes(tokens, threshold), "prefixes")
+    sizes = pre.select("th", "size")
+    met = neighbours(pre, counted=True).join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b")
+    groups = _shared.components(met.where(F.col("n") >= needed(F.col("sa"), F.col("sb"), threshold)))
 
     # blocks of large groups; each pair of blocks is one task's work
     member = reps.select("did", "th", "copies", "size").join(groups, F.col("th") == F.col("node")).drop("node")
     sizes = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / most)).cast("int").alias("blocks"))
     member = member.join(sizes, "root").select("did", "th", "root", "copies", "blocks", F.pmod(F.xxhash64("th"), "blocks").cast("int").alias("own"))
-    pair_of_blocks = _grams(docs, member, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    pair_of_blocks = tokens.join(member, "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "copies", "tokens"
     )
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         th, own, copies = (table.column(c).to_numpy() for c in ("th", "own", "copies"))
-        first = np.unique(th, return_index=True)[1]  # identical rows came once each
-        raw = table.column("tokens").to_pylist()
-        tokens = [np.frombuffer(raw[k], U) for k in first]
+        tokens = [v.values.to_numpy().view(U) for v in table.column("tokens")]
         least = np.array([t[0] for t in tokens], U)  # sorted: the smallest hash
-        order = np.lexsort((th[first], least))
-        tokens, least, first = [tokens[k] for k in order], least[order], first[order]
-        th, own, copies = th[first], own[first], copies[first]
+        order = np.lexsort((th, least))
+        tokens, least = [tokens[k] for k in order], least[order]
+        th, own, copies = th[order], own[order], copies[order]
         _, i, j = (k.as_py() for k in key)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         count, label = np.zeros(len(th), np.int64), np.arange(len(th))
@@ -241,31 +298,32 @@ def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, bands: int = 32,
         some, other = count > 0, label != np.arange(len(th))
         return pa.table({"a": pa.array(np.append(th[some], th[other])), "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(th[label[other]])]), "n": pa.array(np.append(count[some], np.zeros(other.sum(), np.int64)))})
 
-    found = _shared.stash(pair_of_blocks.groupBy("root", "i", "j").applyInArrow(work, "a bigint, b bigint, n bigint"), "links")
+    within = pair_of_blocks.groupBy("root", "i", "j").applyInArrow(work, "a bigint, b bigint, n bigint")
+    pairs = _shared.stash(apart(pre, groups, tokens, threshold), "pairs-apart")
+    copied = reps.select(F.col("th").alias("b"), F.col("copies").alias("n"))
+    across = pairs.union(pairs.select("b", "a")).join(copied, "b").select("a", "b", "n")
+    found = _shared.stash(within.union(across), "links")
     result = _shared.classes(reps.withColumnsRenamed({"th": "node", "did": "id"}), found, "lo", "hi").withColumnRenamed("class_node", "class_th")
     return sets.select("did", "th", "lo", "hi"), result
 
 
-def join(docs: DataFrame, threshold: float = 0.5, n: int = 3, bands: int = 32, rows: int = 3, block: int = 512, most: int = 16 << 20) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512, most: int = 16 << 20) -> DataFrame:
     """doc_id, class_id, links for each row."""
-    each, result = linked(docs, threshold, n, bands, rows, block, most)
+    each, result = linked(docs, threshold, n, block, most)
     return each.join(result, ["lo", "hi"], "left").select(F.col("did").alias("doc_id"), "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
-def _grams(docs: DataFrame, member: DataFrame, n: int) -> DataFrame:
-    """root, own, blocks, th and copies of member with each document's token set as packed bytes."""
-    kept = ["th", "root", "own", "blocks", "copies"]
+def _grams(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
+    """th and tokens, in order, of each document of left, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in _text.pieces(batch, most=1 << 20):
                 grams, at = token_sets(data, off, n)
-                packed = pa.array([grams[at[k] : at[k + 1]].tobytes() for k in range(part.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], packed], [*kept, "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))], ["th", "tokens"])
 
-    keyed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("did"), _shared.row_key().alias("th"), "text")
-    joined = keyed.join(member, ["did", "th"]).select(*kept, "text")
-    return joined.mapInArrow(run, "th bigint, root bigint, own int, blocks int, copies bigint, tokens binary")
+    joined = keyed(docs).join(left, ["did", "th"]).dropDuplicates(["th"]).select("th", "text")  # identical rows share it
+    return joined.mapInArrow(run, "th bigint, tokens array<bigint>")
 
 
 def drop_copies(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
