@@ -130,6 +130,32 @@ def test_language_id_without_labels_or_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(one, language_id.fit(one)).collect()} == {"en"}
 
 
+def test_language_id_fits_on_every_labelled_row(spark):
+    data = [(i, prose(i, 20 + i % 30, lang), lang) for i, lang in ((i, "en" if i % 4 else ("fr", "de")[i // 4 % 2]) for i in range(600))]
+    docs = corpus(spark, data)
+    model = language_id.fit(docs, max_train=100)
+    for lang in WORDS:  # one more text, with a gram that no other has, shows in the model
+        odd = corpus(spark, [(9999, "zqxj " * 200, lang)])
+        assert (language_id.fit(docs.union(odd), max_train=100).weights != model.weights).any()
+    again = language_id.fit(docs.repartition(7), max_train=100)
+    assert (again.weights == model.weights).all() and (again.most_loss == model.most_loss).all() and (again.least_gap == model.least_gap).all()
+    test = languages(5000, 90)
+    got = {r["doc_id"]: r for r in language_id.identify(corpus(spark, test), model).collect()}
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang in test) >= 87
+    assert sum(got[i]["ambiguous"] for i, _, _ in test) <= 5
+
+
+def test_language_id_bounds_are_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    found = [(int(k), int(a), int(b)) for k, a, b in zip(rng.integers(0, 3, 5000), rng.integers(0, 9 * 10**5, 5000), rng.integers(0, 5 * 10**6, 5000), strict=True)] + [(7, 1, 1)]
+    got = language_id.extremes(spark.createDataFrame(found, "level int, loss bigint, gap bigint"))
+    want = {}
+    for k in range(3):
+        loss, gap = (np.array([r[c] for r in found if r[0] == k]) / 10**6 for c in (1, 2))
+        want[k] = np.quantile(loss, 1 - language_id.OUT, method="higher"), np.quantile(gap, language_id.OUT, method="lower")
+    assert got == want
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     docs, labels = [], []
