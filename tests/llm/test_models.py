@@ -227,6 +227,20 @@ def test_language_model_gives_each_word_its_own_probability(spark):
     assert log_prob[4] > log_prob[1] > log_prob[2] > log_prob[3]
 
 
+def test_words_that_share_a_slot_have_their_own_probability(spark, monkeypatch):
+    often = {f"word{k}": 1 + k for k in range(12)}
+    docs = corpus(spark, [(i, " ".join([w] * n)) for i, (w, n) in enumerate(often.items())] + [(100, "the " * 50)])
+    net = language_model.train(docs, listed=1, rest=1, width=1, slot_bits=2)
+    got = []
+    for kept in (1 << 18, 3):
+        monkeypatch.setattr(language_model, "KEPT", kept)
+        got.append(rows(language_model.score(corpus(spark, list(enumerate([*often, "the", "..."]))), net)))
+        log_prob = {r[0]: r[2] for r in got[-1]}
+        for k, n in enumerate(often.values()):
+            assert math.isclose(log_prob[k] - log_prob[0], math.log(n), abs_tol=2e-4)
+    assert got[0] == got[1]
+
+
 def small_vocabulary(listed=3, rest=4, width=2, slots=16):
     words = np.array([5 << 44, 9 << 44, 77 << 44][:listed], np.uint64)
     n = np.random.default_rng(1).random(slots)

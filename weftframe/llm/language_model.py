@@ -4,8 +4,8 @@ Words are plain words. The `listed` most frequent words of the whole corpus are
 outcomes; an outcome lies in one of `classes` classes of `width`. P(word | context) = P(class | context) P(outcome | class, context), each factor a
 softmax over summed weights of hashed features: the previous word, the previous two, and the word before the previous (a skip). A word that isn't
 listed has its outcome's probability times the share that its slot has in the outcome over the whole corpus. Slots are the first bits of the word's hash; there are
-two to four for each distinct word, but 2 ** `slot_bits` at most, so that words share a slot, and its probability, only by chance or in
-vocabularies beyond that. What has no count shares that of one word. Probabilities of all slots and listed words add up to 1.
+two to four for each distinct word, but 2 ** `slot_bits` at most. Words that share a slot, by chance or in vocabularies beyond that, have the parts of its
+probability that their counts give them: those of the KEPT most frequent ones travel with the model, the others are joined. What has no count shares that of one word. Probabilities of all slots and listed words add up to 1.
 
 Training passes over every document once, in `rounds` rounds that each take the documents of one hash. A round's tasks start from the shared weights and
 add up, for each feature and outcome, how often it was met (O) and how often the model expected it (E); O - E is the gradient of the log-likelihood, and
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ FEATURES = len(_K)
 LIST_BITS = 20
 SCALE = 4096
 BATCH = 1 << 15
+KEPT = 1 << 18
+EXACT = 1 << 32
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +107,7 @@ class Net:
         self.size = (len(self.w) - 1 - vocabulary.classes) // 2
         self.bits = self.size.bit_length() - 1
         self.second = self.size + 1  # where the second part begins
+        self.crowded: DataFrame | None = None  # words that share a slot
 
     def parts(self, f: np.ndarray, outcome: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, int, np.ndarray]]:
         """For either factor: the rows of the features, that of the bias, the number of choices and the one taken."""
@@ -183,11 +187,22 @@ def vocabulary(counts: DataFrame, listed: int, rest: int, width: int, slot_bits:
     return vocab, often.reshape(vocab.classes, width)
 
 
+def crowded(counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """h, n and slot of each word that shares its slot; c: EXACT times the logarithm of its part of it."""
+    others = counts.where(~F.col("h").isin(vocab.words.view(np.int64).tolist())) if len(vocab.words) else counts
+    others = others.withColumn("slot", F.shiftrightunsigned("h", 64 - vocab.bits).cast("int"))
+    taken = others.groupBy("slot").agg(F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
+    part = F.round(F.log(F.col("n") / F.col("all")) * F.lit(float(EXACT))).cast("bigint")
+    return _shared.stash(others.join(taken, "slot").select("h", "n", "slot", part.alias("c")), "shared-slots")
+
+
 def train(docs: DataFrame, listed: int = 384, rest: int = 192, width: int = 24, slot_bits: int = 22, bits: int = 14, rounds: int = 3, rate: float = 0.4, prior: float = 2.0) -> Net:
     """bits: 2 ** bits rows of weights for the features of either factor."""
     spark = docs.sparkSession
-    vocab, often = vocabulary(counted(docs), listed, rest, width, slot_bits)
+    counts = counted(docs)
+    vocab, often = vocabulary(counts, listed, rest, width, slot_bits)
     net = Net(vocab, bits=bits)
+    net.crowded = crowded(counts, vocab)
     # the frequencies of outcomes are where training starts
     net.w[net.size, : vocab.classes] = np.log(often.sum(1) / often.sum())
     net.w[net.second + net.size :, :width] = np.log(often / often.sum(1, keepdims=True))
@@ -226,26 +241,52 @@ def train(docs: DataFrame, listed: int = 384, rest: int = 192, width: int = 24,
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, n_words, log_prob (the mean of a word's, in nats), perplexity; to 4 decimals."""
     v = net.v
-    shared = docs.sparkSession.sparkContext.broadcast((v.words, v.rest, v.width, v.share, net.w))  # arrays, as large as the parameters say
+    spark = docs.sparkSession
+    top_h, top_c, slots = np.zeros(0, U), np.zeros(0, np.int64), None
+    if net.crowded is not None:
+        top = net.crowded.orderBy(F.desc("n"), "h").limit(KEPT).select("h", "c").toArrow()
+        top_h, top_c = top["h"].to_numpy().view(U), top["c"].to_numpy()
+        order = np.argsort(top_h)
+        top_h, top_c = top_h[order], top_c[order]
+        if len(top_h) == KEPT:
+            slots = np.zeros(len(v.share), bool)
+            slots[net.crowded.select("slot").distinct().toArrow()["slot"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast((v.words, v.rest, v.width, v.share, net.w, top_h, top_c, slots))  # arrays, as large as the parameters say
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *plain, w = shared.value
+        *plain, w, top_h, top_c, slots = shared.value
         v = Vocabulary(*plain)
         own, places = Net(v, w), v.places()
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part, data, off in _text.pieces(batch, most=1 << 20):
                 h, rows = words_of(data, off)
                 outcome, share = v.outcomes(h, places)
                 found = [own.log_prob(f, o) for f, o in batches_of(features(h, rows), outcome)]
                 each = (np.concatenate(found) if found else np.zeros(0)) + share
+                at = np.searchsorted(top_h, h)
+                hit = np.append(top_h, U(0))[at] == h if len(top_h) else np.zeros(len(h), bool)
+                hit &= at < len(top_h)
+                each[hit] += top_c[at[hit]] / EXACT
                 n = np.diff(rows)
-                mean = np.full(len(n), np.nan)
+                total = np.full(len(n), np.nan)
                 if len(each):
-                    mean[n > 0] = np.add.reduceat(each, rows[:-1][n > 0]) / n[n > 0]
-                out = [part.column(0), pa.array(n), pa.array(mean.round(4), from_pandas=True), pa.array(np.exp(-mean).round(4), from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "log_prob", "perplexity"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, perplexity double")
+                    total[n > 0] = np.add.reduceat(each, rows[:-1][n > 0])
+                left = np.flatnonzero(slots[slot_of(h, v.bits)] & ~hit & (outcome >= v.first)) if slots is not None else np.zeros(0, np.int64)
+                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(left, rows).astype(np.int32)), pa.array(h[left].view(np.int64)))
+                ids = pa.array(np.arange(row, row + len(n)))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total, from_pandas=True), ids, others], ["doc_id", "n_words", "total", "row", "others"])
+
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, total double, row bigint, others array<bigint>")
+    total = F.col("total")
+    if slots is not None:
+        scored = _shared.stash(scored, "scored")
+        exact = scored.select("row", F.explode("others").alias("h")).join(net.crowded.select("h", "c"), "h").groupBy("row").agg(F.sum("c").alias("c"))
+        scored = scored.drop("others").join(exact, "row", "left")
+        total = total + F.coalesce(F.col("c"), F.lit(0)) / F.lit(float(EXACT))
+    mean = total / F.col("n_words")
+    return scored.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(mean, 4)).alias("log_prob"), F.when(F.col("n_words") > 0, F.round(F.exp(-mean), 4)).alias("perplexity"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
