@@ -1,10 +1,12 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 
 from weftframe.llm import jaccard
+from weftframe.plans import scratch
 
 from .helpers import corpus, prose, rows, ugly_rows, with_clashes
 
@@ -154,3 +156,46 @@ def test_no_link_is_lost_between_groups(spark):
     assert sum(r[2] for r in want) > 200
     assert rows(jaccard.join(corpus(spark, data), 0.5)) == want
     assert rows(jaccard.join(corpus(spark, data), 0.37)) == brute(data, 0.37)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(k).getName() for k in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_intermediate_tables_leave_no_shuffle_files(spark, monkeypatch):
+    stash, left = jaccard._shared.stash, {}
+
+    def watched(df, name, **more):
+        before = shuffle_files(spark)
+        out = stash(df, name, **more)
+        for _ in range(40):  # they are deleted in the background
+            left[name] = len(shuffle_files(spark) - before)
+            if not left[name]:
+                break
+            time.sleep(0.05)
+        return out
+
+    was = spark.conf.get(scratch.RELEASE)
+    monkeypatch.setattr(jaccard._shared, "stash", watched)
+    data = mixture()
+    assert rows(jaccard.join(corpus(spark, data))) == brute(data, 0.5)
+    left.pop("edges")  # of components, which other operators share
+    assert set(left) >= {"representatives", "promising", "tokens", "prefixes", "neighbours", "links"} and not any(left.values())
+    assert spark.conf.get(scratch.RELEASE) == was
+
+
+def test_texts_are_sent_once(spark):
+    docs = corpus(spark, [(i, prose(i, 60)) for i in range(20)] + [(3, prose(3, 60))])
+    left = jaccard.set_hashes(docs, 3).select("did", "th").distinct()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tokens = jaccard._grams(docs, left.where("did % 2 = 1"), 3)
+        plan = tokens._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert tokens.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    joined = next(k for k, line in enumerate(plan) if "SortMergeJoin" in line)  # what it sends on stands above it
+    assert not any("Exchange" in line for line in plan[:joined])

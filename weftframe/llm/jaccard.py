@@ -155,7 +155,7 @@ def apart(pre: DataFrame, groups: DataFrame, tokens: DataFrame, threshold: float
     """(a, b) of all similar documents in different groups, a < b."""
     own = pre.join(groups, F.col("th") == F.col("node"), "left").select("th", "size", F.coalesce("root", "th").alias("root"), F.explode("keys").alias("key"))
     several = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    own = _shared.stash(own.join(several, "key"), "apart")
+    own = _shared.stash(own.join(several, "key"), "apart", release=True)
     left, right = own.toDF("key", "a", "sa", "ra"), own.toDF("key", "b", "sb", "rb")
     met = left.join(right, "key").where("ra != rb and a < b").where(F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold) - F.lit(1e-6))
     met = met.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n")).where(F.col("n") >= needed(F.col("sa"), F.col("sb"), threshold))
@@ -244,7 +244,7 @@ def neighbours(reps: DataFrame, counted: bool = False) -> DataFrame:
         if first is not None:  # the ends of the partition, for keys that go on in the next one
             yield pa.RecordBatch.from_pydict({"a": pa.array([first[1], last], pa.int64()), "b": pa.nulls(2, pa.int64()), "key": pa.array([first[0], last_key], pa.int64()), "part": pa.array([2 * part, 2 * part + 1], pa.int64())})
 
-    found = _shared.stash(ordered.mapInArrow(run, "a bigint, b bigint, key bigint, part bigint"), "neighbours")
+    found = _shared.stash(ordered.mapInArrow(run, "a bigint, b bigint, key bigint, part bigint"), "neighbours", release=True)
     ends = found.where("b is null")  # two rows a partition
     over = Window.partitionBy("key").orderBy("part")
     ends = ends.select("a", F.lag("a").over(over).alias("other")).where("other is not null and a != other").select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b"))
@@ -255,16 +255,16 @@ def neighbours(reps: DataFrame, counted: bool = False) -> DataFrame:
 def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512, most: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(did, th, lo, hi) of each row of docs; and (lo, hi, class_id, class_th, links) of each set with links, class_id and class_th being those of the class's first document."""
     docs = docs.select("doc_id", "text")
-    sets = _shared.stash(set_hashes(docs, n), "sets")
+    sets = _shared.stash(set_hashes(docs, n), "sets", release=True)
     known = sets.where("lo is not null")
     copies = known.select("lo", "hi", "did", "th").distinct().groupBy("lo", "hi").agg(F.count("*").alias("copies"))
     reps = known.groupBy("lo", "hi").agg(F.min(F.struct("did", "th", "size")).alias("r")).join(copies, ["lo", "hi"]).select("lo", "hi", "copies", "r.*")
-    reps = _shared.stash(reps, "representatives")
+    reps = _shared.stash(reps, "representatives", release=True)
 
     total = sets.agg(F.sum("size")).first()[0] or 0
-    left = reps.join(promising(docs, n, threshold, total), "th").select("did", "th")
-    tokens = _shared.stash(_grams(docs, left, n), "tokens")
-    pre = _shared.stash(prefixes(tokens, threshold), "prefixes")
+    left = _shared.stash(reps.join(promising(docs, n, threshold, total), "th").select("did", "th"), "promising", release=True)
+    tokens = _shared.stash(_grams(docs, left, n), "tokens", release=True)
+    pre = _shared.stash(prefixes(tokens, threshold), "prefixes", release=True)
     sizes = pre.select("th", "size")
     met = neighbours(pre, counted=True).join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b")
     groups = _shared.components(met.where(F.col("n") >= needed(F.col("sa"), F.col("sb"), threshold)))
@@ -299,10 +299,10 @@ def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512
         return pa.table({"a": pa.array(np.append(th[some], th[other])), "b": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(th[label[other]])]), "n": pa.array(np.append(count[some], np.zeros(other.sum(), np.int64)))})
 
     within = pair_of_blocks.groupBy("root", "i", "j").applyInArrow(work, "a bigint, b bigint, n bigint")
-    pairs = _shared.stash(apart(pre, groups, tokens, threshold), "pairs-apart")
+    pairs = _shared.stash(apart(pre, groups, tokens, threshold), "pairs-apart", release=True)
     copied = reps.select(F.col("th").alias("b"), F.col("copies").alias("n"))
     across = pairs.union(pairs.select("b", "a")).join(copied, "b").select("a", "b", "n")
-    found = _shared.stash(within.union(across), "links")
+    found = _shared.stash(within.union(across), "links", release=True)
     result = _shared.classes(reps.withColumnsRenamed({"th": "node", "did": "id"}), found, "lo", "hi").withColumnRenamed("class_node", "class_th")
     return sets.select("did", "th", "lo", "hi"), result
 
@@ -322,7 +322,9 @@ def _grams(docs: DataFrame, left: DataFrame, n: int) -> DataFrame:
                 grams, at = token_sets(data, off, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))], ["th", "tokens"])
 
-    joined = keyed(docs).join(left, ["did", "th"]).dropDuplicates(["th"]).select("th", "text")  # identical rows share it
+    # keyed by th alone, so that texts are sent once: did, were it a key as well, would have them sent again by th. Identical rows share it
+    joined = keyed(docs).join(left.withColumnRenamed("did", "own"), "th").where(F.col("did").bitwiseXOR(F.col("own")) == 0)
+    joined = joined.dropDuplicates(["th"]).select("th", "text")
     return joined.mapInArrow(run, "th bigint, tokens array<bigint>")
 
 
