@@ -199,3 +199,16 @@ def test_texts_are_sent_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     joined = next(k for k, line in enumerate(plan) if "SortMergeJoin" in line)  # what it sends on stands above it
     assert not any("Exchange" in line for line in plan[:joined])
+
+
+def test_blocks_of_sizes_too_far_apart_do_not_meet(spark):
+    sizes = {k: 10 + k % 5 if k < 60 else 1000 + k % 300 for k in range(120)}
+    member = spark.createDataFrame([(k, 1, s) for k, s in sizes.items()] + [(500, 2, 7), (501, 2, 900)], "th bigint, root bigint, size int")
+    member = spark.createDataFrame(jaccard.blocked(member, 16, 16 << 20).collect())
+    own = {r["th"]: r["own"] for r in member.collect() if r["root"] == 1}
+    met = {(r["own"], r["other"]) for r in jaccard.block_pairs(member, 0.5).collect() if r["root"] == 1}
+    blocks = set(own.values())
+    assert 7 <= len(blocks) <= 9 and max(list(own.values()).count(b) for b in blocks) <= 32
+    assert all((own[a], own[b]) in met for a in sizes for b in sizes if min(sizes[a], sizes[b]) >= 0.5 * max(sizes[a], sizes[b]))
+    assert (min(blocks), max(blocks)) not in met and len(met) <= 0.7 * len(blocks) ** 2
+    assert {r["own"] for r in member.collect() if r["root"] == 2} == {0}

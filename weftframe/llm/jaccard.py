@@ -12,8 +12,8 @@ never written out, so the result is as long as the table.
    size - ceil(threshold * size) + 1 of either one; those of them that occur twice are the document's keys. The keys are range-sorted, and each
    document meets the first document of its key and the one before it (as many meetings as keys, however many documents share one; a key may go
    over many partitions). Those that meet as often as similar ones must (`needed`) are put together, and the groups are the connected components.
-4. Each group's sets meet in one task (those of a group of more than `block` documents, or `most` bytes, in blocks, each pair of blocks in one
-   task). There they are split further by their smallest hash; a matrix, built and multiplied in slices of WIDTH tokens, holds each
+4. Each group's sets meet in one task (those of a group of more than about `block` documents, or `most` bytes, in blocks in order of size, each pair
+   of blocks in one task, but for those of sizes too far apart for the threshold). There they are split further by their smallest hash; a matrix, built and multiplied in slices of WIDTH tokens, holds each
    subgroup's token union. The overlap of a query with a union bounds its similarity to every member, so only subgroups whose bound reaches the
    threshold are opened and compared exactly. What leaves the task is a number of links for each document and one edge at most for each
    document, which tie together what is linked.
@@ -252,6 +252,22 @@ def neighbours(reps: DataFrame, counted: bool = False) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("n")) if counted else found.distinct()
 
 
+def blocked(member: DataFrame, block: int, most: int) -> DataFrame:
+    """member (th, root, size, others) with own, the block of its group: about `block` documents and `most` bytes of n-grams at most, in order of size."""
+    each = member.groupBy("root", "size").agg(F.sum(F.lit(1 / block) + F.col("size") * F.lit(8 / most)).alias("weight"))
+    over = Window.partitionBy("root").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.sum("weight").over(over), F.lit(0.0)))
+    share = F.pmod(F.xxhash64("th"), F.lit(1 << 20)) / F.lit(1 << 20)  # of one size, by hash
+    return member.join(each, ["root", "size"]).withColumn("own", F.floor(F.col("before") + F.col("weight") * share).cast("int")).drop("weight", "before")
+
+
+def block_pairs(member: DataFrame, threshold: float) -> DataFrame:
+    """(root, own, other), both ways and with itself: blocks whose sizes are near enough for similar sets; one must have `threshold` of the other's n-grams at least."""
+    ends = member.groupBy("root", "own").agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    both = ends.join(ends.toDF("root", "other", "small_", "large_"), "root")
+    return both.where(F.least("large", "large_") >= F.greatest("small", "small_") * F.lit(threshold) - F.lit(1e-6)).select("root", "own", "other")
+
+
 def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512, most: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(did, th, lo, hi) of each row of docs; and (lo, hi, class_id, class_th, links) of each set with links, class_id and class_th being those of the class's first document."""
     docs = docs.select("doc_id", "text")
@@ -269,11 +285,10 @@ def linked(docs: DataFrame, threshold: float = 0.5, n: int = 3, block: int = 512
     met = neighbours(pre, counted=True).join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b")
     groups = _shared.components(met.where(F.col("n") >= needed(F.col("sa"), F.col("sb"), threshold)))
 
-    # blocks of large groups; each pair of blocks is one task's work
+    # blocks of large groups; each pair of blocks that may hold similar sets is one task's work
     member = reps.select("did", "th", "copies", "size").join(groups, F.col("th") == F.col("node")).drop("node")
-    sizes = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / most)).cast("int").alias("blocks"))
-    member = member.join(sizes, "root").select("did", "th", "root", "copies", "blocks", F.pmod(F.xxhash64("th"), "blocks").cast("int").alias("own"))
-    pair_of_blocks = tokens.join(member, "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    member = _shared.stash(blocked(member, block, most), "members", release=True)
+    pair_of_blocks = tokens.join(member.join(block_pairs(member, threshold), ["root", "own"]), "th").select(
         "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "copies", "tokens"
     )
 
