@@ -206,6 +206,18 @@ def test_joins(spark, shop):
     assert len(c.join(p.where(sku="nope"), sku="sku")) == 0
 
 
+def test_join_of_a_heavy_key_is_dealt_to_several_tasks(spark):
+    rows = lambda n, name: Table(name, spark.range(n).selectExpr("if(id % 1000 = 7, null, id % 1000 div 500) k", f"id {name}").union(spark.sql(f"select {2 if name == 'x' else 3} k, -1L {name}")).coalesce(1))
+    x, y = rows(6000, "x"), rows(4000, "y")
+    plain = x.frame.join(y.frame.withColumnRenamed("k", "k2"), F.expr("k = k2"), "full")
+    for joined, padded in ((x.join(y, k="k"), "x is not null and y is not null"), (x.outer_join("", y, how="left", k="k"), "x is not null"), (x.outer_join("", y, how="right", k="k"), "y is not null")):
+        found = joined.frame.select("x", "y", F.spark_partition_id().alias("task"))
+        each = found.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).collect()
+        expected = plain.where(padded).where("coalesce(k, k2) is not null").agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        assert (sum(r.n for r in each), sum(r.h for r in each)) == tuple(expected)
+        assert max(r.n for r in each) < 0.45 * expected[0]  # two keys: without shares, a task has half of the rows at least
+
+
 def test_join_terms(spark, shop):
     c, p = (t.clone().create_index("sku") for t in shop)
     assert len((c.join_on("sku") + p.join_on("sku"))()) == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import TYPE_CHECKING, Any
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.order import PART, POS, Key, positioned, visible
-from ..plans.scratch import product
+from ..plans.scratch import product, stash
 
 if TYPE_CHECKING:
     from ..table import Table
 
+#: Rows that a key needs on either side before its pairs are counted, pairs beyond which a key is dealt to several tasks, and bytes of a side that is too small for such keys.
+MANY, PAIRS, LITTLE = 256, 1 << 20, 4096
+
 KINDS = {"right outer join": "keep_self", "left outer join": "keep_other", "full outer join": "full"}
 
 
@@ -59,6 +63,45 @@ def _sides(left: Table, right: Table) -> tuple[DataFrame, DataFrame]:
     return named(left, "l"), named(right, "r")
 
 
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _dealt(l: DataFrame, r: DataFrame, on: list[tuple[str, str]], kind: str) -> tuple[DataFrame, DataFrame] | None:  # noqa: E741
+    """The sides with a share, also to be joined on, for keys of more than PAIRS pairs: one side's rows have one of the key's shares by their content, the other's
+    have all of them. None where no key has so many, which a count of the smaller side's keys tells as a rule.
+    """
+    if l.isStreaming or r.isStreaming or any(l.schema[a].dataType != r.schema[b].dataType for a, b in on):
+        return None
+    sides, sizes = (l, r), (_bytes(l), _bytes(r))
+    if min(sizes) < LITTLE:
+        return None
+    counts = [df.groupBy(*[F.col(f"`{k[i]}`") for k in on]).agg(F.count("*").alias(f"_wf_n{i}")).where(f"_wf_n{i} >= {MANY}") for i, df in enumerate(sides)]
+    if counts[sizes.index(min(sizes))].isEmpty():
+        return None
+    pairs = F.col("_wf_n0") * F.col("_wf_n1").cast("double")
+    heavy = stash(counts[0].join(counts[1], [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in on]).where(pairs > PAIRS), "heavy")
+    most = heavy.agg(F.sum("_wf_n0"), F.sum("_wf_n1"), F.sum(pairs)).first()
+    if most[2] is None:
+        return None
+    # the side that an outer join keeps whole has each row once; no more shares than leave a 16th of the pairs for copies
+    split = {"keep_self": 0, "keep_other": 1}.get(kind, int(most[1] > most[0]))
+    shares = F.greatest(F.lit(1), F.least(F.ceil(pairs / PAIRS), F.floor(F.col(f"_wf_n{split}") / 16))).cast("int")
+    groups, least = math.ceil(most[2] / PAIRS), int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(10_000, max(least, groups // 4, min(groups, 4 * least)))  # hashes spread few groups unevenly
+    out = []
+    for i, df in enumerate(sides):
+        keys = [k[i] for k in on]
+        shared = heavy.select(*[F.col(f"`{k}`").alias(f"_wf_h{j}") for j, k in enumerate(keys)], shares.alias("_wf_shares"))
+        df = df.join(shared, [F.col(f"`{k}`") == F.col(f"_wf_h{j}") for j, k in enumerate(keys)], "left")
+        n = F.coalesce("_wf_shares", F.lit(1))
+        content = [F.col(f"`{c}`") for c, kind_ in sides[i].dtypes if "map<" not in kind_ and "variant" not in kind_]
+        share = F.pmod(F.xxhash64(*content), n).cast("int") if i == split else F.explode(F.sequence(F.lit(0), n - 1))
+        df = df.withColumn(f"_wf_share{i}", share).drop("_wf_shares", *[f"_wf_h{j}" for j in range(len(keys))])
+        out.append(df.repartition(tasks, *[F.col(f"`{k}`") for k in keys], f"_wf_share{i}"))
+    return out[0], out[1]
+
+
 def join_frames(left: Table, right: Table, keys: list[tuple[str, str]], wanted: list[tuple[str, str, str]], kind: str, grid: bool = True) -> tuple[DataFrame, list[Key]]:
     """The joined frame and its order. kind: inner, keep_self, keep_other or full. Null keys never match, and a row with one is not preserved. With grid, a
     full join on several fields goes over the product of the values that each field has on either side.
@@ -67,6 +110,9 @@ def join_frames(left: Table, right: Table, keys: list[tuple[str, str]], wanted:
     on = [(f"l_{a}", f"r_{b}") for a, b in keys]
     not_null = lambda df, i: df.where(" and ".join(f"`{k[i]}` is not null" for k in on))
     condition = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in on]
+    if kind != "full" and (dealt := _dealt(l, r, on, kind)):
+        l, r = dealt  # noqa: E741
+        condition.append(F.col("_wf_share0") == F.col("_wf_share1"))
     if kind == "inner":
         out = l.join(r, condition, "inner")
     elif kind == "keep_self":
