@@ -6,13 +6,16 @@ import re
 from collections import namedtuple
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftframe import SearchIndexInconsistentError, Table, attrgetter
 from weftframe.errors import NoSuchIndexError, ReadonlyIndexAccessError
 from weftframe.functions import words
+from weftframe.operators import search
 from weftframe.operators.fields import parse_fields, parse_sort
+from weftframe.plans.scratch import BATCHES, stash
 
 
 @pytest.fixture(scope="module")
@@ -371,6 +374,22 @@ def test_conversions(spark):
     assert values(h, "d") == [dt.timedelta(seconds=225)] and Table.parse_timedelta("%H:%M")("1:30") == dt.timedelta(hours=1.5)
 
 
+def test_search_words_are_made_in_parts():
+    texts = [" ".join(f"w{i}x{j % 9}" for j in range(i, i + 700)) for i in range(400)] + [None, "", " ".join(f"u{i}" for i in range(100_000)), "w1x1 last"]
+    parts = list(search.tokens(frozenset()).func(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["w1x1"])])))
+    assert [x for part in parts for x in part.to_pylist()] == [sorted(set((t or "").split())) for t in [*texts, "w1x1"]]
+    assert len(parts) > 3 and max(sum(len(w) + 1 for words_ in p.to_pylist() for w in words_) for p in parts) < 2 * search.PIECE
+
+
+def test_batches_sent_to_python_are_bounded(spark):
+    seen = F.arrow_udf(lambda x: pa.array([len(x)] * len(x), pa.int64()), "bigint")
+    before = [spark.conf.get(k) for k in BATCHES]
+    df = spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), F.lit(10_000)).alias("text"), seen("text").alias("n"))
+    assert stash(df, "test", batch=(100, 1 << 30)).agg(F.max("n"), F.count("*")).first()[:] == (100, 3000)
+    assert stash(df, "test", batch=(10_000, 1 << 17)).agg(F.max("n")).first()[0] < 30
+    assert [spark.conf.get(k) for k in BATCHES] == before
+
+
 def test_can_is_searchable():
     assert "can" not in words.STOPWORDS and {"can't", "isn't", "she'd", "t", ""} <= words.STOPWORDS
     assert list(words.words("you can do", words.STOPWORDS)) == ["can"]

@@ -6,7 +6,8 @@ import shlex
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from ..functions import words as W
 from ..plans.order import columns as order_columns
 
 PLUS, MINUS, PLAIN = 1000, -1000, 100
+#: What a task's Python holds at a time: rows and bytes of a batch of texts, bytes of texts as words, words with their forms.
+ROWS, BATCH, PIECE, KNOWN = 1000, 1 << 23, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -54,22 +57,37 @@ def parse(query: str | Iterable[str], stopwords: frozenset[str]) -> Query:
     return out
 
 
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in parts of about PIECE bytes."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > PIECE:
+            yield texts[at:i].to_pylist()
+            at, size = i, 0
+        size += n
+    yield texts[at:].to_pylist()
+
+
 def tokens(stopwords: frozenset[str]):
-    def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[str, ...]] = {}  # a batch's words repeat
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[str, ...]] = {}  # words repeat
 
         def of(text: str | None) -> list[str]:
             found: set[str] = set()
             for word in set((text or "").split()):
                 forms = known.get(word)
                 if forms is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     forms = known[word] = tuple(W.word_forms(word, stopwords))
                 found.update(forms)
             return sorted(found - stopwords)
 
-        return texts.map(of)
+        for texts in batches:
+            for piece in _pieces(texts):
+                yield pa.array([of(text) for text in piece], pa.list_(pa.string()))
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))
 
 
 def indexed(df: DataFrame, attr: str, stopwords: frozenset[str], name: str = "_wf_tokens") -> DataFrame:

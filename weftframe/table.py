@@ -821,7 +821,7 @@ class Table:
         stop = search.stopwords_of(stopwords)
         df, keys = self._ordered()
         self._df, self._order = df, self._order or keys
-        self._searches[attr] = (self._version, stop, order.stash(search.indexed(df, attr, stop), "words"))
+        self._searches[attr] = (self._version, stop, order.stash(search.indexed(df, attr, stop), "words", batch=(search.ROWS, search.BATCH)))
         return self
 
     def delete_search_index(self, attr: str) -> Table:
